@@ -60,9 +60,9 @@ SCORES = f"""texts AS (
     SELECT seq, len(toks) AS n, len(list_filter(toks, lambda t: {_UPPER})) AS caps,
       list_position(list_transform(toks, lambda t: lower(t)), 'but') AS but_at FROM texts),
   toks AS (
-    SELECT seq, unnest(toks) AS t, generate_subscripts(toks, 1) AS at FROM texts),
+    SELECT seq, unnest(toks) AS t, generate_subscripts(toks, 1) AS place FROM texts),
   known AS (
-    SELECT toks.seq, at, t, lower(t) AS w, CAST(v.valence AS DOUBLE) AS valence,
+    SELECT toks.seq, place, t, lower(t) AS w, CAST(v.valence AS DOUBLE) AS valence,
       CAST(p.polarity AS DOUBLE) AS polarity, CAST(b.value AS DOUBLE) AS booster,
       CAST(g.value AS DOUBLE) AS negator, CAST(i.value AS DOUBLE) AS intensity
     FROM toks LEFT JOIN valence_lexicon v ON v.word = lower(t)
@@ -75,7 +75,7 @@ SCORES = f"""texts AS (
       lag(booster, 1) OVER w AS b1, lag(booster, 2) OVER w AS b2, lag(booster, 3) OVER w AS b3,
       lag(negator, 1) OVER w AS g1, lag(negator, 2) OVER w AS g2, lag(negator, 3) OVER w AS g3,
       lag(intensity, 1) OVER w AS i1
-    FROM known WINDOW w AS (PARTITION BY seq ORDER BY at)),
+    FROM known WINDOW w AS (PARTITION BY seq ORDER BY place)),
   s0 AS (
     SELECT near.*, but_at, CASE WHEN caps > 0 AND caps < n AND {_UPPER}
       THEN valence + sign(valence) * 0.733 ELSE valence END AS x
@@ -87,7 +87,7 @@ SCORES = f"""texts AS (
   s3 AS (SELECT *, CASE WHEN v3 IS NULL AND b3 IS NOT NULL THEN y2 + sign(y2) * b3 * 0.9 ELSE y2 END AS x3 FROM s2n),
   s3n AS (SELECT *, CASE WHEN v3 IS NULL AND g3 IS NOT NULL THEN x3 * g3 ELSE x3 END AS y3 FROM s3),
   final AS (
-    SELECT seq, CAST(CASE WHEN at < but_at THEN y3 * 0.5 WHEN at > but_at THEN y3 * 1.5 ELSE y3 END AS DECIMAL(28,12)) AS v,
+    SELECT seq, CAST(CASE WHEN place < but_at THEN y3 * 0.5 WHEN place > but_at THEN y3 * 1.5 ELSE y3 END AS DECIMAL(28,12)) AS v,
       CAST(CASE WHEN polarity IS NULL THEN NULL ELSE least(greatest(
         CASE WHEN g2 IS NOT NULL AND i1 IS NOT NULL THEN polarity * -0.5 / i1
           WHEN g1 IS NOT NULL THEN polarity * -0.5 WHEN i1 IS NOT NULL THEN polarity * i1
