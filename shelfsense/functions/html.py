@@ -9,7 +9,7 @@ follow nesting and is used where containers have to be cut out.
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from itertools import permutations
 
 from pyspark.sql import Column, DataFrame
@@ -138,40 +138,49 @@ def attribute(tag: Column, name: str) -> Column:
     return F.when(F.regexp_like(tag, F.lit(pattern)), decode_entities(value))
 
 
+def computed(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Add columns that are evaluated once per row.
+
+    They pass through a one-row generator, which the optimizer does not look through; a
+    plain projection would be copied into every later filter and expression using it.
+    """
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value evaluated once however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def with_texts(
     df: DataFrame, html: str, fields: Mapping[str, Sequence[str]]
 ) -> DataFrame:
     """Add one text column per field: the first selector with a non-empty text wins.
 
     When elements match but all are empty the result is empty, and NULL when none match.
-    The opening tags are found in a projection of their own so each is searched once.
     """
     tags = {
-        f"_{field}_{i}": opener(F.col(html), selector)
+        f"_{field}": F.filter(
+            F.array(*[opener(F.col(html), s) for s in selectors]), lambda tag: tag != ""
+        )
         for field, selectors in fields.items()
-        for i, selector in enumerate(selectors)
+    }
+    texts = {
+        f"_{field}_texts": F.transform(
+            F.col(f"_{field}"), lambda tag: inner_text(first_inner(F.col(html), tag))
+        )
+        for field in fields
     }
 
-    def text(name: str) -> Column:
-        tag = F.col(name)
-        return F.when(tag != "", inner_text(first_inner(F.col(html), tag)))
-
-    def field_text(field: str) -> Column:
-        texts = [text(f"_{field}_{i}") for i in range(len(fields[field]))]
-        if len(texts) == 1:
-            return texts[0]
-        return F.coalesce(*[F.nullif(t, F.lit("")) for t in texts], _any_match(field))
-
-    def _any_match(field: str) -> Column:
-        matched = F.lit(False)
-        for i in range(len(fields[field])):
-            matched = matched | (F.col(f"_{field}_{i}") != "")
-        return F.when(matched, F.lit(""))
+    def chosen(field: str) -> Column:
+        found = F.col(f"_{field}_texts")
+        return F.coalesce(F.get(F.filter(found, lambda t: t != ""), 0), F.get(found, 0))
 
     return (
-        df.withColumns(tags)
-        .withColumns({field: field_text(field) for field in fields})
-        .drop(*tags)
+        computed(computed(df, tags), texts)
+        .withColumns({field: chosen(field) for field in fields})
+        .drop(*tags, *texts)
     )
 
 
@@ -182,25 +191,33 @@ def elements(html: Column, selector: str) -> Column:
     closed as often as it was opened.
     """
     pattern = opening_tag(selector)
-    tags = F.regexp_extract_all(html, F.lit(pattern), F.lit(0))
-    gaps = F.split(html, pattern, -1)
+    parts = F.struct(
+        F.regexp_extract_all(html, F.lit(pattern), F.lit(0)).alias("tags"),
+        F.split(html, pattern, -1).alias("gaps"),
+    )
 
-    def rest(i: Column) -> Column:
+    def rest(found: Column, i: Column) -> Column:
         """The page from just behind opening tag number ``i`` (from 0)."""
         done = F.aggregate(
             F.sequence(F.lit(0), i),
             F.lit(0),
-            lambda size, j: size + F.length(F.get(gaps, j)) + F.length(F.get(tags, j)),
+            lambda size, j: size
+            + F.length(F.get(found["gaps"], j))
+            + F.length(F.get(found["tags"], j)),
         )
         return F.substr(html, done + 1)
 
-    return F.transform(tags, lambda tag, i: balanced_inner(rest(i), tag_name(tag)))
+    return bind(
+        parts,
+        lambda found: F.transform(
+            found["tags"], lambda tag, i: balanced_inner(rest(found, i), tag_name(tag))
+        ),
+    )
 
 
 def balanced_inner(rest: Column, name: Column) -> Column:
     closing = F.concat(F.lit("(?i)</"), name, F.lit(r"\s*>"))
     opening = F.concat(F.lit("(?i)<"), name, F.lit(r"[\s>]"))
-    pieces = F.split(rest, closing, -1)
     start = F.struct(
         F.lit(0).alias("opened"), F.lit(0).alias("taken"), F.lit(False).alias("closed")
     )
@@ -214,9 +231,11 @@ def balanced_inner(rest: Column, name: Column) -> Column:
         )
         return F.when(state["closed"], state).otherwise(grown)
 
-    inside = F.call_function(
-        "array_join",
-        F.slice(pieces, F.lit(1), F.aggregate(pieces, start, step, lambda state: state["taken"])),
-        F.concat(F.lit("</"), name, F.lit(">")),
+    def inside(pieces: Column) -> Column:
+        taken = F.aggregate(pieces, start, step, lambda state: state["taken"])
+        end = F.concat(F.lit("</"), name, F.lit(">"))
+        return F.call_function("array_join", F.slice(pieces, F.lit(1), taken), end)
+
+    return F.when(name.isin(*VOID_TAGS), F.lit("")).otherwise(
+        bind(F.split(rest, closing, -1), inside)
     )
-    return F.when(name.isin(*VOID_TAGS), F.lit("")).otherwise(inside)

@@ -16,6 +16,9 @@ SPACE = (
     r"[\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
+LATIN_SPACE = r"[\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x{85}\x{a0}]"
+# The class without the blank: these are replaced by blanks before splitting.
+OTHER_SPACE = SPACE.replace("\\x1f ", "\\x1f")
 
 
 def strip(text: Column) -> Column:
@@ -27,6 +30,19 @@ def strip_or_empty(text: Column) -> Column:
     return strip(F.coalesce(text, F.lit("")))
 
 
+def single_blanks(text: Column) -> Column:
+    """Every white-space character as a blank.
+
+    One pattern for the Latin-1 range (a bit set in the matcher) and plain substring
+    replacement for the rest, which hardly ever occurs.
+    """
+    blanks = F.regexp_replace(text, LATIN_SPACE, " ")
+    for char in WHITESPACE:
+        if ord(char) > 0xFF:
+            blanks = F.replace(blanks, F.lit(char), F.lit(" "))
+    return blanks
+
+
 def is_blank(text: Column) -> Column:
     return strip_or_empty(text) == ""
 

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SPACE, WHITESPACE
+from .text import SPACE, WHITESPACE, single_blanks
 
 BREAK, HELD = "\ue000", "\ue001"  # private-use characters: sentence break, held full stop
 
@@ -37,60 +37,63 @@ STOP_WORDS = (
 )
 # --- end of fixed values ----------------------------------------------------
 
-_END = f"([ {BREAK}]|$)"
+_END = "( |$)"
+# Both rule lists see the text with a blank put in front, so that "after a blank" also
+# covers its beginning.
 SENTENCE_RULES = (
     (
-        r"(?i)(^|[^\p{L}\p{N}])(" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
-        + rf")\.({SPACE})",
+        r"([\s(\"'\[])((?i:" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
+        + rf"))\.({SPACE})",
         rf"\1\2{HELD}\3",
     ),
-    (rf"([.!?]+[\"')\]]*){SPACE}+", rf"\1{BREAK}"),
+    (rf"([.!?]+[\"')\]]*){SPACE}+", rf"\1{BREAK} "),
     (HELD, "."),
 )
+LITERALS = (HELD, "--", '"')  # patterns without special characters
 # Applied in order to text whose white space is single blanks and whose sentences are
-# separated by BREAK.
+# separated by BREAK and a blank. Patterns start with the rare character they are about, so a scan
+# rejects most positions at once.
 WORD_RULES = (
-    # quotes that open
-    (rf"(^|[ (\[<{BREAK}{{])\"", r"\1 `` "),
-    # punctuation
-    (r"([:,])([^\d])", r" \1 \2"),
-    (rf"([:,]){_END}", r" \1 \2"),
+    # a quote that opens
+    (r"([ (\[<{])\"", r"\1 `` "),
+    # punctuation; comma and colon stay inside numbers
+    (r"([:,])([^\d]|$)", r" \1 \2"),
     (r"(\.\.+)", r" \1 "),
-    (r"([;@#$%&?!*])", r" \1 "),
-    (rf"([^.])\.([\])}}>\"' ]*)({BREAK}|$)", r"\1 . \2\3"),
-    (rf"([^'])'{_END}", r"\1 ' \2"),
-    # brackets and dashes
-    (r"([\]\[(){}<>])", r" \1 "),
-    (r"--", r" -- "),
+    (r"([;@#$%&?!*\]\[(){}<>])", r" \1 "),
+    # the full stop that ends a sentence
+    (rf"(\.+)([\])}}>\"' ]*)({BREAK}|$)", r" \1 \2\3"),
+    ("--", " -- "),
     # quotes that close
-    (r"\"", r" '' "),
+    ('"', " '' "),
+    (rf"('+){_END}", r" \1 \2"),
     # clitics
-    (rf"([^' ])('[sSmMdD]){_END}", r"\1 \2 \3"),
-    (rf"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T){_END}", r"\1 \2 \3"),
+    (rf"('(?:[sSmMdD]|ll|LL|re|RE|ve|VE)|n't|N'T){_END}", r" \1 \2"),
 )
 
 
 def _apply(text: Column, rules) -> Column:
-    return reduce(
-        lambda t, rule: F.regexp_replace(t, rule[0], rule[1].replace("\\", "$")), rules, text
-    )
+    for pattern, replacement in rules:
+        if pattern in LITERALS:
+            text = F.replace(text, F.lit(pattern), F.lit(replacement))
+        else:
+            text = F.regexp_replace(text, pattern, replacement.replace("\\", "$"))
+    return text
 
 
 def mark_sentences(text: Column) -> Column:
-    return _apply(text, SENTENCE_RULES)
+    return _apply(F.concat(F.lit(" "), text), SENTENCE_RULES)
 
 
 def sentences(text: Column) -> Column:
     pieces = F.transform(
         F.split(mark_sentences(text), BREAK, -1), lambda s: F.btrim(s, F.lit(WHITESPACE))
     )
-    return F.filter(pieces, lambda s: s != "")
+    return F.filter(pieces, _not_empty)
 
 
 def words(text: Column) -> Column:
-    flat = F.regexp_replace(mark_sentences(text), f"{SPACE}+", " ")
-    spaced = _apply(flat, WORD_RULES)
-    tokens = F.filter(F.split(spaced, f"[ {BREAK}]+", -1), lambda w: w != "")
+    spaced = _apply(single_blanks(mark_sentences(text)), WORD_RULES)
+    tokens = F.filter(F.split(F.replace(spaced, F.lit(BREAK), F.lit(" ")), " ", -1), _not_empty)
 
     def parts(word: Column) -> Column:
         low = F.lower(word)
@@ -103,10 +106,15 @@ def words(text: Column) -> Column:
         ).otherwise(F.array(word))
 
     # Splitting joined words looks at every token, so only texts that hold one pay for it.
-    holds_one = F.regexp_like(flat, F.lit("(?i)" + "|".join(JOINED_WORDS)))
+    low = F.lower(text)
+    holds_one = reduce(lambda a, b: a | b, (low.contains(j) for j in JOINED_WORDS))
     return F.when(holds_one, F.flatten(F.transform(tokens, parts))).otherwise(tokens)
 
 
+def _not_empty(piece: Column) -> Column:
+    return piece != ""
+
+
 def combine_text(title: Column, body: Column, concatenate: bool) -> Column:
     """The text to split: body alone, or title and body when there is a title."""
     body = F.coalesce(body, F.lit(""))

@@ -13,6 +13,8 @@ from ..functions.html import (
     after,
     attribute,
     balanced_inner,
+    bind,
+    computed,
     elements,
     first_inner,
     inner_text,
@@ -33,6 +35,12 @@ ID_BV = r"[\s\"']id=(?:\"[^\"]*BV[^\"]*\"|'[^']*BV[^']*')"
 LINK_OR_BUTTON = r"(?is)<(?:a|button)(?:\s[^>]*)?>.*?</(?:a|button)\s*>"
 
 
+def _visible_pages(pages: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    source = pages.select(*dict.fromkeys([*keep, "html"]))
+    seen = computed(source, {"_html": visible(F.col("html"))})
+    return seen if "html" in keep else seen.drop("html")
+
+
 # --- listing pages ----------------------------------------------------------
 def cards(html: Column, selectors=fixed.CARD_SELECTORS) -> Column:
     """Inner HTML of all cards: those of the first selector that matches anything."""
@@ -54,7 +62,8 @@ def cards(html: Column, selectors=fixed.CARD_SELECTORS) -> Column:
 
 
 def with_cards(pages: DataFrame, selectors=fixed.CARD_SELECTORS) -> DataFrame:
-    return pages.withColumn("cards", cards(visible(F.col("html")), selectors))
+    seen = computed(pages, {"_html": visible(F.col("html"))})
+    return computed(seen, {"cards": cards(F.col("_html"), selectors)}).drop("_html")
 
 
 def card_rows(pages: DataFrame, *keep: str, selectors=fixed.CARD_SELECTORS) -> DataFrame:
@@ -72,10 +81,9 @@ def pages_without_cards(pages: DataFrame, selectors=fixed.CARD_SELECTORS) -> Dat
 
 def card_link(card: Column, base: Column | None = None, selectors=fixed.LINK_SELECTORS) -> Column:
     """The first product link, otherwise the first link of any kind."""
-    links = [attribute(non_empty(opener(card, s)), "href") for s in selectors]
-    if base is not None:
-        links = [resolve_url(link, base) for link in links]
-    return F.coalesce(*links)
+    tags = F.filter(F.array(*[opener(card, s) for s in selectors]), lambda tag: tag != "")
+    link = F.get(F.transform(tags, lambda tag: attribute(tag, "href")), 0)
+    return link if base is None else bind(link, lambda href: resolve_url(href, base))
 
 
 def card_fields(card_table: DataFrame, card: str = "card", base: str | None = None) -> DataFrame:
@@ -83,7 +91,7 @@ def card_fields(card_table: DataFrame, card: str = "card", base: str | None = No
         card_table, card, {"title": fixed.TITLE_SELECTORS, "price": fixed.PRICE_SELECTORS}
     )
     link = card_link(F.col(card), F.col(base) if base else None)
-    return texts.withColumn("product_url", link)
+    return computed(texts, {"product_url": link})
 
 
 def card_gate(fields: DataFrame) -> DataFrame:
@@ -105,7 +113,7 @@ def product_listing(pages: DataFrame, *keep: str, resolve: bool = True) -> DataF
 
 # --- detail pages -----------------------------------------------------------
 def product_details(pages: DataFrame, *keep: str) -> DataFrame:
-    source = pages.select(*keep, visible(F.col("html")).alias("_html"))
+    source = _visible_pages(pages, keep)
     fields = {
         "detailed_title": ("h1",),
         "detailed_price": fixed.PRICE_SELECTORS,
@@ -150,8 +158,9 @@ def rating_widget(pages: DataFrame, *keep: str) -> DataFrame:
         return F.coalesce(non_empty(text(f"_alt{i}")), attribute(non_empty(tag), "data-rating"))
 
     found = (
-        pages.select(*keep, visible(F.col("html")).alias("_html"))
-        .withColumns({name: opener(html, s) for name, s in tags.items()})
+        computed(
+            _visible_pages(pages, keep), {name: opener(html, s) for name, s in tags.items()}
+        )
         .withColumns(
             {
                 "count_text": text("_count"),
@@ -163,30 +172,36 @@ def rating_widget(pages: DataFrame, *keep: str) -> DataFrame:
             }
         )
         .withColumn(
-            "opened_by",
-            F.when(F.col("_in_button") & F.col("count_text").contains("("), F.lit("widget")),
-        )
-        .withColumn(
-            "star_text", F.when(F.col("opened_by").isNull(), _star_button_text(html))
-        )
-        .withColumn(
-            "opened_by",
-            F.coalesce("opened_by", F.when(F.col("star_text").isNotNull(), F.lit("button"))),
+            "_widget",
+            F.coalesce(
+                F.col("_in_button") & F.col("count_text").contains("("), F.lit(False)
+            ),
         )
+        .withColumn("star_text", F.when(~F.col("_widget"), _star_button_text(html)))
+    )
+    found = computed(
+        found.drop("_html", *tags),
+        {
+            "opened_by": F.when(F.col("_widget"), F.lit("widget")).when(
+                F.col("star_text").isNotNull(), F.lit("button")
+            )
+        },
     )
     rating = F.col("rating_text")
     alternatives = [
         F.get("alternatives", i) for i in range(len(fixed.ALT_RATING_SELECTORS))
     ]
+    opened = F.col("opened_by")
+    numbers = {
+        "total_reviews": F.when(opened == "widget", r.review_count(F.col("count_text"))).otherwise(
+            r.review_count(F.col("star_text"))
+        ),
+        "average_rating": F.when(
+            opened == "widget", r.rating_with_fallback(rating, *alternatives)
+        ).when(opened == "button", r.parse_rating(rating)),
+    }
     return found.select(
-        *keep,
-        "opened_by",
-        F.when(F.col("opened_by") == "widget", r.review_count(F.col("count_text")))
-        .otherwise(r.review_count(F.col("star_text")))
-        .alias("total_reviews"),
-        F.when(F.col("opened_by") == "widget", r.rating_with_fallback(rating, *alternatives))
-        .when(F.col("opened_by") == "button", r.parse_rating(rating))
-        .alias("average_rating"),
+        *keep, "opened_by", *[value.alias(name) for name, value in numbers.items()]
     )
 
 
@@ -205,8 +220,10 @@ def rating_summary(widgets: DataFrame) -> DataFrame:
 # --- review pages -----------------------------------------------------------
 def container(html: Column, element_id: str) -> Column:
     """Inner HTML of the element with that id, NULL when there is none."""
-    tag = opener(html, f"#{element_id}")
-    return F.when(tag != "", balanced_inner(after(html, tag), tag_name(tag)))
+    return bind(
+        opener(html, f"#{element_id}"),
+        lambda tag: F.when(tag != "", balanced_inner(after(html, tag), tag_name(tag))),
+    )
 
 
 def review_view_kind(html: Column) -> Column:
@@ -259,8 +276,7 @@ def review_signals(html: Column, phrases=fixed.REVIEW_PHRASES) -> dict[str, Colu
 def reviews_present(pages: DataFrame, *keep: str) -> DataFrame:
     signals = review_signals(F.col("_html"))
     return (
-        pages.select(*keep, visible(F.col("html")).alias("_html"))
-        .withColumns(signals)
+        computed(_visible_pages(pages, keep), signals)
         .select(
             *keep,
             *signals,
@@ -271,9 +287,11 @@ def reviews_present(pages: DataFrame, *keep: str) -> DataFrame:
 
 def review_sections(pages: DataFrame, *keep: str) -> DataFrame:
     """One row per review section inside the container, numbered from 1."""
-    inside = container(visible(F.col("html")), "reviews_container")
     return (
-        pages.select(*keep, inside.alias("_inside"))
+        computed(
+            _visible_pages(pages, keep),
+            {"_inside": container(F.col("_html"), "reviews_container")},
+        )
         .select(
             *keep,
             F.posexplode(F.regexp_extract_all("_inside", F.lit(SECTION), F.lit(0))).alias(
@@ -354,6 +372,6 @@ def has_next_page(html: Column) -> Column:
 
 
 def pagination_text(pages: DataFrame, *keep: str) -> DataFrame:
-    source = pages.select(*keep, visible(F.col("html")).alias("_html"))
+    source = _visible_pages(pages, keep)
     texts = with_texts(source, "_html", {"pagination": (fixed.PAGINATION_SELECTOR,)})
     return texts.select(*keep, non_empty(F.col("pagination")).alias("pagination"))

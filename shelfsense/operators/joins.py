@@ -25,14 +25,16 @@ def estimated_bytes(df: DataFrame) -> int | None:
     return int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def _broadcast_limit(spark: SparkSession) -> int:
-    text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+def bytes_setting(spark: SparkSession, name: str) -> int:
+    text = spark.conf.get(name)
     return int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(text))
 
 
 def fits_broadcast(df: DataFrame) -> bool:
     size = estimated_bytes(df)
-    return size is not None and size <= _broadcast_limit(df.sparkSession)
+    return size is not None and size <= bytes_setting(
+        df.sparkSession, "spark.sql.autoBroadcastJoinThreshold"
+    )
 
 
 def _splits_skew(spark: SparkSession) -> bool:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fixed
 from ..functions.sentiment import combined_score, confidence, sentiment_label, sentiment_struct
-from ..functions.text import SPACE, clamp, is_blank, round_n, strip_or_empty
+from ..functions.text import clamp, is_blank, round_n, single_blanks
 from .filters import limited_backlog
 from .joins import first_per_key, lookup_join
 from .merge import keyed_update
@@ -61,7 +61,7 @@ def sentiment_tokens(text: Column) -> Column:
         inside = F.btrim(token, F.lit(string.punctuation))
         return F.when(F.length(inside) > 2, inside).otherwise(token)
 
-    pieces = F.split(strip_or_empty(text), f"{SPACE}+", -1)
+    pieces = F.split(single_blanks(text), " ", -1)
     return F.filter(F.transform(pieces, bare), lambda t: F.length(t) > 1)
 
 

@@ -51,13 +51,21 @@ def harvest_reviews(
         joins.lookup_join(pages, todo, "product_url", "left_semi"), max_pages
     )
     first = wanted.filter(F.col("page_no") == 1)
-    widgets = extract.rating_summary(extract.rating_widget(first, "product_url"))
-    shown = extract.reviews_present(first, "product_url").select("product_url", "reviews_present")
-    # One state row per product: a product has one first page.
-    state = joins.lookup_join(
-        widgets.withColumn("opened", F.col("opened_by").isNotNull()), shown, "product_url"
+    numbers = ("opened_by", "total_reviews", "average_rating", "has_reviews")
+    widgets = extract.rating_summary(extract.rating_widget(first, "product_url", "html"))
+    seen = extract.reviews_present(widgets, "product_url", *numbers)
+    opened = F.col("opened_by").isNotNull()
+    # One row per product, also where its first page was stored more than once.
+    state = (
+        seen.groupBy("product_url")
+        .agg(
+            F.bool_or(opened).alias("opened"),
+            F.bool_or(opened & F.col("reviews_present")).alias("readable"),
+            F.max(F.struct("has_reviews", "total_reviews", "average_rating")).alias("best"),
+        )
+        .select("product_url", "opened", "readable", "best.*")
     )
-    readable = state.filter(F.col("opened") & F.col("reviews_present")).select("product_url")
+    readable = state.filter("readable").select("product_url")
     reviews = extract.extract_reviews(
         joins.lookup_join(wanted, readable, "product_url", "left_semi"), "page_no"
     )

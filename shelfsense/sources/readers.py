@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import MapType, StringType, StructField, StructType
 
 from .. import schemas
+from ..operators.joins import bytes_setting, estimated_bytes
 from ..operators.products import TEXT_FIELDS
 
 
@@ -20,6 +21,19 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
+def spread_small(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a table smaller than one file split, hashed over all cores by ``key``.
+
+    A small file is a single row group, which a single task would have to process. Larger
+    tables come in enough splits, and pass through without a shuffle.
+    """
+    spark = df.sparkSession
+    size, split = estimated_bytes(df), bytes_setting(spark, "spark.sql.files.maxPartitionBytes")
+    if size is None or size > split:
+        return df
+    return df.repartition(spark.sparkContext.defaultParallelism, key)
+
+
 def read_products(
     spark: SparkSession,
     path: str,
@@ -81,13 +95,22 @@ def read_ratings_map(
     Missing or malformed input gives an empty table.
     """
     fields = StructType([f for f in schema.fields if f.name != "product_url"])
+    # JSON knows text keys only, so maps are read with those and cast afterwards.
+    textual = StructType(
+        [
+            StructField(f.name, MapType(StringType(), f.dataType.valueType))
+            if isinstance(f.dataType, MapType)
+            else f
+            for f in fields
+        ]
+    )
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema).select("product_url", *fields.names)
-    entries = F.from_json("value", f"map<string,{fields.simpleString()}>")
+    entries = F.from_json("value", f"map<string,{textual.simpleString()}>")
     return (
         spark.read.text(path, wholetext=whole_files)
         .select(F.explode(entries).alias("product_url", "r"))
-        .select("product_url", "r.*")
+        .select("product_url", *[F.col(f"r.{f.name}").cast(f.dataType).alias(f.name) for f in fields])
     )
 
 

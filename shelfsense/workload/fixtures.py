@@ -150,7 +150,7 @@ FROM {products_raw}
 
 FIXTURES["detail_pages"] = """
 SELECT k AS page_id, product_url AS url,
-  concat('<html><head><style>.sku{}</style></head><body><h1> ', title, ' </h1>',
+  concat('<html><head><style>.sku {{}}</style></head><body><h1> ', title, ' </h1>',
     CASE WHEN detailed_price IS NULL THEN '' ELSE concat('<div class="big-price">', detailed_price, '</div>') END,
     CASE WHEN sku IS NULL THEN '' ELSE concat('<span data-testid="the-sku">', sku, '</span>') END,
     CASE WHEN description IS NULL THEN '<p class="detail"> </p>'

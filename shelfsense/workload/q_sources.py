@@ -1,0 +1,145 @@
+"""Readers and writers: each query writes a whole table and reads it back."""
+
+from pyspark.sql import functions as F
+
+from .. import schemas
+from ..functions.text import iso_format
+from ..operators import joins, merge, products, stats
+from ..sources import readers, writers
+from . import sqlkit as q
+from .q_stats import cleaned
+from .q_tables import _LATEST, _iso_rating
+from .registry import Tables, query
+
+URL = "product_url"
+RAW = schemas.PRODUCT_RAW.names
+REVIEW = schemas.REVIEW.names
+
+
+@query("read_products", f"SELECT {', '.join(RAW)} FROM raw_products")
+def read_products(t: Tables):
+    path = t.scratch("products")
+    writers.write_products(t.raw_products.select(*RAW), path)
+    return readers.read_products(t.spark, path)
+
+
+@query(
+    "read_products_null_fields",
+    """SELECT title, product_url, array_to_string(list_filter([CASE WHEN title IS NULL THEN 'title' END,
+    CASE WHEN description IS NULL THEN 'description' END, CASE WHEN sku IS NULL THEN 'sku' END,
+    CASE WHEN detailed_title IS NULL THEN 'detailed_title' END], lambda x: x IS NOT NULL), ',') AS null_fields
+    FROM raw_products""",
+)
+def read_products_null_fields(t: Tables):
+    path = t.scratch("products")
+    writers.write_products(t.raw_products.select(*RAW), path)
+    found = readers.read_products(t.spark, path, mark_nulls=True)
+    return found.select("title", URL, F.array_join("null_fields", ",").alias("null_fields"))
+
+
+@query("read_reviews", f"SELECT {', '.join(REVIEW)} FROM reviews_raw")
+def read_reviews(t: Tables):
+    path = t.scratch("reviews")
+    writers.write_json(t.reviews_raw.select(*REVIEW), path)
+    return readers.read_reviews(t.spark, path)
+
+
+@query("read_ratings_map", "SELECT product_url, average_rating, total_reviews FROM ratings_summary")
+def read_ratings_map(t: Tables):
+    path = t.scratch("ratings")
+    writers.write_ratings_map(t.ratings_summary, path)
+    return readers.read_ratings_map(t.spark, path).select(URL, "average_rating", "total_reviews")
+
+
+@query("scan_collection", "SELECT * FROM part")
+def scan_collection(t: Tables):
+    return readers.scan_collection(t.spark, t.path("part"))
+
+
+@query("read_pages", "SELECT page_id, url, md5(html) AS digest FROM pages")
+def read_pages(t: Tables):
+    pages = readers.read_pages(t.spark, t.path("pages"))
+    return pages.select("page_id", "url", F.md5("html").alias("digest"))
+
+
+_FLAT = """discount_percentage, discount_amount, original_price, ends_date, has_discount"""
+
+
+@query(
+    "write_products",
+    f"""WITH {q.CLEANED} SELECT k, product_id, title, brand, category, price, raw_price, {_FLAT}, description, sku
+    FROM cleaned""",
+)
+def write_products(t: Tables):
+    path = t.scratch("cleaned")
+    writers.write_products(cleaned(t), path, "parquet")
+    stored = products.flatten_discount(readers.scan_collection(t.spark, path))
+    return stored.select(
+        "k", "product_id", "title", "brand", "category", "price", "raw_price",
+        *[c.strip() for c in _FLAT.split(",")], "description", "sku",
+    )
+
+
+@query("write_reviews", "SELECT seq, review_id, rating, body FROM reviews_raw")
+def write_reviews(t: Tables):
+    path = t.scratch("reviews")
+    table = t.reviews_raw.select("seq", "review_id", "rating", "body", "verified_purchaser")
+    for part in (F.col("verified_purchaser"), ~F.col("verified_purchaser")):
+        writers.append_reviews(table.filter(part).drop("verified_purchaser"), path)
+    return readers.scan_collection(t.spark, path)
+
+
+@query("write_ratings", _LATEST)
+def write_ratings(t: Tables):
+    path = t.scratch("ratings")
+    history = t.ratings_history
+    writers.write_version(history.filter("seq = 1"), path)
+    stored = readers_version(t, path)
+    writers.write_version(merge.upsert_latest(stored, history.filter("seq > 1")), path)
+    return _iso_rating(readers_version(t, path))
+
+
+def readers_version(t: Tables, path: str):
+    return writers.read_version(t.spark, path)
+
+
+@query(
+    "full_refresh_load",
+    f"""WITH {q.CLEANED}, c AS (SELECT 'products' AS collection, count(*) AS documents FROM cleaned
+      UNION ALL SELECT 'reviews', count(*) FROM reviews_raw)
+    SELECT * FROM c UNION ALL SELECT 'total', CAST(sum(documents) AS BIGINT) FROM c""",
+)
+def full_refresh_load(t: Tables):
+    at = {name: t.scratch(name) for name in ("products", "reviews")}
+    reviews = t.reviews_raw.select(*REVIEW)
+    writers.full_refresh_load(t.raw_products, reviews, at["products"], at["reviews"])
+    writers.full_refresh_load(cleaned(t), None, at["products"], at["reviews"])
+    return stats.table_counts(**{n: writers.read_version(t.spark, p) for n, p in at.items()})
+
+
+@query(
+    "export_collection",
+    f"""SELECT product_url, average_rating, total_reviews, {q.iso('extracted_at')} AS extracted_at, seq
+    FROM ratings_history""",
+)
+def export_collection(t: Tables):
+    path = t.scratch("export")
+    writers.export_collection(t.ratings_history, path)
+    return t.spark.read.schema(
+        "product_url string, average_rating double, total_reviews bigint, extracted_at string, seq int"
+    ).json(path)
+
+
+@query(
+    "clear_tables",
+    """WITH c AS (SELECT 'products' AS collection, count(*) AS n FROM products_raw
+      UNION ALL SELECT 'reviews', count(*) FROM reviews_raw UNION ALL SELECT 'prices', count(*) FROM lineitem),
+    a AS (SELECT * FROM c UNION ALL SELECT 'total', CAST(sum(n) AS BIGINT) FROM c)
+    SELECT collection, n AS before, n AS deleted, CAST(0 AS BIGINT) AS remaining FROM a""",
+)
+def clear_tables(t: Tables):
+    at = {name: t.scratch(name) for name in ("products", "reviews", "prices")}
+    t.products_raw.write.parquet(at["products"])
+    t.reviews_raw.write.parquet(at["reviews"])
+    t.prices.write.parquet(at["prices"])
+    return writers.clear_tables(t.spark, "DELETE", **at)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import product as p
 from ..functions import tokens
-from ..functions.text import SPACE
+from ..functions.text import OTHER_SPACE, SPACE
 from ..operators import joins, nlp, sentiment, stats
 from . import sqlkit as q
 from .registry import Tables, query
@@ -26,15 +26,16 @@ def _chain(x: str, rules) -> str:
 
 
 def sentences_sql(text: str) -> str:
-    pieces = f"string_split({_chain(text, tokens.SENTENCE_RULES)}, '{tokens.BREAK}')"
+    marked = _chain(f"' ' || {text}", tokens.SENTENCE_RULES)
+    pieces = f"string_split({marked}, '{tokens.BREAK}')"
     stripped = f"list_transform({pieces}, lambda s: {q.strip('s')})"
     return f"list_filter({stripped}, lambda s: s <> '')"
 
 
 def words_sql(text: str) -> str:
-    flat = f"regexp_replace({_chain(text, tokens.SENTENCE_RULES)}, '{SPACE}+', ' ', 'g')"
-    spaced = _chain(flat, tokens.WORD_RULES)
-    pieces = f"string_split_regex({spaced}, '[ {tokens.BREAK}]+')"
+    marked = _chain(f"' ' || {text}", tokens.SENTENCE_RULES)
+    spaced = _chain(marked, ((OTHER_SPACE, " "), *tokens.WORD_RULES))
+    pieces = f"string_split(replace({spaced}, '{tokens.BREAK}', ' '), ' ')"
     kept = f"list_filter({pieces}, lambda w: w <> '')"
     cases = " ".join(
         f"WHEN {_lit(w)} THEN [substr(w, 1, {n}), substr(w, {n + 1})]"

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.sentiment import word_table
 from ..session import scratch_path
+from ..sources.readers import spread_small
 from .fixtures import FIXTURES
 
 GIVEN = (
@@ -17,6 +18,9 @@ GIVEN = (
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
+# Tables whose rows cost much work each, and the key that spreads a small copy of them.
+SPREAD = {"documents": "doc_id", "pages": "page_id", "part": "p_partkey"}
+
 
 class Tables:
     """Given tables and the ones derived from them, by attribute; all lazy."""
@@ -37,9 +41,14 @@ class Tables:
             sources = {n: getattr(self, n) for n in _sources(FIXTURES[name])}
             return self.spark.sql(FIXTURES[name], **sources)
         if name in GIVEN:
-            return self.spark.read.parquet(self.path(name))
+            table = self.spark.read.parquet(self.path(name))
+            return spread_small(table, SPREAD[name]) if name in SPREAD else table
         raise AttributeError(f"no table {name}")
 
+    def provide(self, name: str, table: DataFrame) -> None:
+        """Use ``table`` where the given or derived table ``name`` is asked for."""
+        self._known[name] = table
+
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
 
