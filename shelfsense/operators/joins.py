@@ -1,9 +1,9 @@
 """Lookup joins whose lookup side holds each key once, so rows never multiply.
 
-Physical choice, in this order: the lookup side is broadcast when Spark's size estimate
-is below the session's broadcast threshold; otherwise both sides are shuffled on the key
-and adaptive execution splits partitions a hot key has made too large; when the session
-has switched that off, the rows of heavy keys are salted here.
+No join here forces a broadcast. Spark broadcasts the lookup side when its size estimate
+(or, at run time, its measured size) is below the session's threshold; otherwise both
+sides are shuffled on the key and adaptive execution splits partitions a hot key has made
+too large. When the session has switched that off, the rows of heavy keys are salted here.
 """
 
 from __future__ import annotations
@@ -25,16 +25,15 @@ def estimated_bytes(df: DataFrame) -> int | None:
     return int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def bytes_setting(spark: SparkSession, name: str) -> int:
-    text = spark.conf.get(name)
-    return int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(text))
+def session_conf(spark: SparkSession):
+    """The session's settings with their types (sizes in bytes)."""
+    return spark._jsparkSession.sessionState().conf()
 
 
 def fits_broadcast(df: DataFrame) -> bool:
     size = estimated_bytes(df)
-    return size is not None and size <= bytes_setting(
-        df.sparkSession, "spark.sql.autoBroadcastJoinThreshold"
-    )
+    limit = session_conf(df.sparkSession).autoBroadcastJoinThreshold()
+    return size is not None and size <= limit
 
 
 def _splits_skew(spark: SparkSession) -> bool:
@@ -97,9 +96,7 @@ def lookup_join(
 ) -> DataFrame:
     """Join ``left`` with a ``right`` side that is unique on ``keys``."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    if fits_broadcast(right):
-        return left.join(F.broadcast(right), keys, how)
-    if _splits_skew(left.sparkSession):
+    if _splits_skew(left.sparkSession) or fits_broadcast(right):
         return left.join(right, keys, how)
     return salted_lookup_join(left, right, keys, how)
 

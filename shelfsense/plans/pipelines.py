@@ -47,16 +47,14 @@ def harvest_reviews(
     """
     urls = product_table.select("product_url").distinct()
     todo = joins.unprocessed_products(urls, stored_reviews)
-    wanted = extract.paginate_union(
-        joins.lookup_join(pages, todo, "product_url", "left_semi"), max_pages
-    )
-    first = wanted.filter(F.col("page_no") == 1)
+    # Pages are read into records first; joins then move records, never pages.
     numbers = ("opened_by", "total_reviews", "average_rating", "has_reviews")
+    first = pages.filter(F.col("page_no") == 1)
     widgets = extract.rating_summary(extract.rating_widget(first, "product_url", "html"))
     seen = extract.reviews_present(widgets, "product_url", *numbers)
     opened = F.col("opened_by").isNotNull()
     # One row per product, also where its first page was stored more than once.
-    state = (
+    states = (
         seen.groupBy("product_url")
         .agg(
             F.bool_or(opened).alias("opened"),
@@ -65,10 +63,10 @@ def harvest_reviews(
         )
         .select("product_url", "opened", "readable", "best.*")
     )
+    state = joins.lookup_join(states, todo, "product_url", "left_semi")
     readable = state.filter("readable").select("product_url")
-    reviews = extract.extract_reviews(
-        joins.lookup_join(wanted, readable, "product_url", "left_semi"), "page_no"
-    )
+    found_reviews = extract.extract_reviews(extract.paginate_union(pages, max_pages), "page_no")
+    reviews = joins.lookup_join(found_reviews, readable, "product_url", "left_semi")
     new_ratings = state.filter(F.col("has_reviews")).select(
         "product_url", "average_rating", "total_reviews", run_ts.alias("extracted_at")
     )

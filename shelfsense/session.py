@@ -17,6 +17,22 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+SHUFFLE_TARGET = 128 * 1024**2
+MAX_SHUFFLE_PARTITIONS = 100_000
+
+
+def sizing(input_bytes: int, cores: int) -> dict[str, str]:
+    """Shuffle settings for a given amount of input.
+
+    Enough partitions that one fits in an executor's share of memory even if a shuffle
+    moves the whole input; adaptive execution merges them again where less is moved.
+    """
+    wanted = min(max(2 * cores, input_bytes // SHUFFLE_TARGET), MAX_SHUFFLE_PARTITIONS)
+    return {
+        "spark.sql.shuffle.partitions": str(wanted),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(SHUFFLE_TARGET),
+    }
+
 
 def build_session(app: str = "shelfsense", master: str | None = None, **conf) -> SparkSession:
     builder = SparkSession.builder.appName(app)

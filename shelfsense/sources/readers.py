@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StringType, StructField, StructType
 
 from .. import schemas
-from ..operators.joins import bytes_setting, estimated_bytes
+from ..operators.joins import estimated_bytes, session_conf
 from ..operators.products import TEXT_FIELDS
 
 
@@ -28,7 +28,7 @@ def spread_small(df: DataFrame, key: str) -> DataFrame:
     tables come in enough splits, and pass through without a shuffle.
     """
     spark = df.sparkSession
-    size, split = estimated_bytes(df), bytes_setting(spark, "spark.sql.files.maxPartitionBytes")
+    size, split = estimated_bytes(df), session_conf(spark).filesMaxPartitionBytes()
     if size is None or size > split:
         return df
     return df.repartition(spark.sparkContext.defaultParallelism, key)

@@ -90,7 +90,7 @@ def resume_harvest(products: DataFrame, out: str) -> Batch:
     def transform(pages: DataFrame, batch_id: int) -> DataFrame:
         stored = written_before(pages.sparkSession, out, HARVESTED, batch_id)
         todo = unprocessed_products(urls, stored)
-        return extract_reviews(lookup_join(pages, todo, "product_url", "left_semi"), "page_no")
+        return lookup_join(extract_reviews(pages, "page_no"), todo, "product_url", "left_semi")
 
     return transform
 
