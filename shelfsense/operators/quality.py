@@ -38,6 +38,18 @@ def review_rules() -> dict[str, Column]:
     }
 
 
+def pid_pattern_check(df: DataFrame, url: str = "product_url") -> DataFrame:
+    """How many addresses carry a product id, how many do not, and how long the ids are."""
+    found = product_id(F.col(url))
+    return df.agg(
+        F.count(F.lit(1)).alias("urls"),
+        F.count(found).alias("with_id"),
+        F.count_if(found.isNull()).alias("without_id"),
+        F.min(F.length(found)).alias("shortest"),
+        F.max(F.length(found)).alias("longest"),
+    )
+
+
 def failed_rules(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Add the names of the rules each row breaks."""
     names = F.array(*[F.when(broken, F.lit(name)) for name, broken in rules.items()])

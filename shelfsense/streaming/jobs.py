@@ -73,12 +73,18 @@ def written_before(
 
 
 def enrich_reviews(words: DataFrame, concatenate: bool = False, key: str = "seq") -> Batch:
-    """Sentences, words and sentiment for a batch of new reviews."""
+    """Sentences, words and sentiment for a batch of new reviews.
+
+    A batch comes in as few partitions as it has files. Hashing it by ``key`` first puts
+    all cores to work, and is the only shuffle: scoring and the join of the scores find
+    the rows already in place.
+    """
 
     def transform(batch: DataFrame, _: int) -> DataFrame:
-        enriched = nlp_incremental(batch, concatenate)
-        scores = sentiment_table(batch, words, key)
-        return enriched.join(scores, key, "left")
+        cores = batch.sparkSession.sparkContext.defaultParallelism
+        spread = batch.repartition(cores, key)
+        scores = sentiment_table(spread, words, key)
+        return nlp_incremental(spread, concatenate).join(scores, key, "left")
 
     return transform
 

@@ -44,8 +44,9 @@ SELECT p_partkey AS k,
 FROM {part} WHERE p_partkey % 17 <> 16
 """
 
+# Only products 0 to 149 can match, so that side is broadcast: 150 rows at any scale.
 FIXTURES["reviews_raw"] = """
-SELECT concat('bv-review-', CAST(d.doc_id - (CASE WHEN d.doc_id % 40 = 39 THEN 1 ELSE 0 END) AS STRING)) AS review_id,
+SELECT /*+ BROADCAST(p) */ concat('bv-review-', CAST(d.doc_id - (CASE WHEN d.doc_id % 40 = 39 THEN 1 ELSE 0 END) AS STRING)) AS review_id,
   CASE WHEN d.doc_id % 40 = 13 THEN 'https://shop.example.com/en/pdp/gone-9999999p.html' ELSE p.product_url END AS product_url,
   CASE WHEN d.doc_id % 11 = 10 THEN NULL ELSE CAST(1 + d.doc_id % 5 AS INT) END AS rating,
   CASE WHEN d.doc_id % 9 = 8 THEN '' ELSE substr(d.text, 1, 30) END AS title,
@@ -60,7 +61,8 @@ SELECT concat('bv-review-', CAST(d.doc_id - (CASE WHEN d.doc_id % 40 = 39 THEN 1
   coalesce(l.quality, 0) = 1 AS verified_purchaser,
   CAST(d.n_chars % 7 AS INT) AS helpful_count,
   d.doc_id AS seq
-FROM {documents} d JOIN {products_raw} p ON p.k = d.doc_id % 150
+FROM {documents} d
+JOIN (SELECT k, product_url FROM {products_raw} WHERE k < 150) p ON p.k = d.doc_id % 150
 LEFT JOIN {labels} l ON d.doc_id = l.doc_id
 """
 

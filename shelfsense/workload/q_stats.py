@@ -172,6 +172,16 @@ def schema_violations_products(t: Tables):
     return quality.schema_violations(full, quality.product_rules())
 
 
+@query(
+    "pid_pattern_check",
+    f"""SELECT count(*) AS urls, count(p) AS with_id, count(*) - count(p) AS without_id,
+    CAST(min(length(p)) AS INTEGER) AS shortest, CAST(max(length(p)) AS INTEGER) AS longest
+    FROM (SELECT {q.PRODUCT_ID} AS p FROM products_raw)""",
+)
+def pid_pattern_check(t: Tables):
+    return quality.pid_pattern_check(t.products_raw)
+
+
 @query(
     "layout",
     f"""WITH {q.CLEANED} SELECT category, brand, product_id, price FROM cleaned""",
