@@ -207,15 +207,30 @@ def elements(html: Column, selector: str) -> Column:
         )
         return F.substr(html, done + 1)
 
+    def inner(found: Column, tag: Column, i: Column) -> Column:
+        # Mostly the element closes before the next match, so the text up to there will
+        # do; only a match inside a match needs the rest of the page.
+        near = balanced(F.get(found["gaps"], i + 1), tag_name(tag))
+        return bind(
+            near,
+            lambda n: F.when(n["closed"], n["inner"]).otherwise(
+                balanced_inner(rest(found, i), tag_name(tag))
+            ),
+        )
+
     return bind(
         parts,
-        lambda found: F.transform(
-            found["tags"], lambda tag, i: balanced_inner(rest(found, i), tag_name(tag))
-        ),
+        lambda found: F.transform(found["tags"], lambda tag, i: inner(found, tag, i)),
     )
 
 
 def balanced_inner(rest: Column, name: Column) -> Column:
+    """The inner HTML of an element ``name`` whose opening tag stands right before ``rest``."""
+    return balanced(rest, name)["inner"]
+
+
+def balanced(rest: Column, name: Column) -> Column:
+    """Inner HTML (all of ``rest`` if the element never closes) and whether it closed."""
     closing = F.concat(F.lit("(?i)</"), name, F.lit(r"\s*>"))
     opening = F.concat(F.lit("(?i)<"), name, F.lit(r"[\s>]"))
     start = F.struct(
@@ -231,11 +246,21 @@ def balanced_inner(rest: Column, name: Column) -> Column:
         )
         return F.when(state["closed"], state).otherwise(grown)
 
-    def inside(pieces: Column) -> Column:
-        taken = F.aggregate(pieces, start, step, lambda state: state["taken"])
-        end = F.concat(F.lit("</"), name, F.lit(">"))
-        return F.call_function("array_join", F.slice(pieces, F.lit(1), taken), end)
+    end = F.concat(F.lit("</"), name, F.lit(">"))
 
-    return F.when(name.isin(*VOID_TAGS), F.lit("")).otherwise(
-        bind(F.split(rest, closing, -1), inside)
+    def joined(pieces: Column, state: Column) -> Column:
+        # The last piece has no closing tag behind it, so reaching it is not a close.
+        closed = state["closed"] & (state["taken"] < F.size(pieces))
+        inner = F.call_function("array_join", F.slice(pieces, F.lit(1), state["taken"]), end)
+        return F.struct(
+            F.when(void, F.lit("")).otherwise(inner).alias("inner"),
+            (void | closed).alias("closed"),
+        )
+
+    void = name.isin(*VOID_TAGS)
+    return bind(
+        F.split(rest, closing, -1),
+        lambda pieces: bind(
+            F.aggregate(pieces, start, step), lambda state: joined(pieces, state)
+        ),
     )

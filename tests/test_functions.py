@@ -171,6 +171,13 @@ def test_elements_follow_nesting(spark):
     ]
 
 
+def test_elements_inside_each_other_and_unclosed(spark):
+    pages = ['<p><i class="c">a<i class="c">b</i></i><i class="c">d', '<img class="c"><b class="c">e</b>', ""]
+    assert values(spark, pages, lambda c: html.elements(c, ".c")) == [
+        ['a<i class="c">b</i>', "b", "d"], ["", "e"], [],
+    ]
+
+
 def test_entities_and_invisible(spark):
     assert values(spark, ["a &amp;lt; <b>b</b> &lt;c&gt; "], html.inner_text) == ["a &lt; b <c>"]
     page = "<script>var x='<p>';</script><!-- <p> --><style>p{}</style><p>y</p>"
