@@ -84,15 +84,19 @@ def mark_sentences(text: Column) -> Column:
     return _apply(F.concat(F.lit(" "), text), SENTENCE_RULES)
 
 
-def sentences(text: Column) -> Column:
+def sentences(text: Column, marked: Column | None = None) -> Column:
+    """The sentences of a text; ``marked`` is its ``mark_sentences`` where at hand."""
+    marked = mark_sentences(text) if marked is None else marked
     pieces = F.transform(
-        F.split(mark_sentences(text), BREAK, -1), lambda s: F.btrim(s, F.lit(WHITESPACE))
+        F.split(marked, BREAK, -1), lambda s: F.btrim(s, F.lit(WHITESPACE))
     )
     return F.filter(pieces, _not_empty)
 
 
-def words(text: Column) -> Column:
-    spaced = _apply(single_blanks(mark_sentences(text)), WORD_RULES)
+def words(text: Column, marked: Column | None = None) -> Column:
+    """The words of a text, sentence by sentence."""
+    marked = mark_sentences(text) if marked is None else marked
+    spaced = _apply(single_blanks(marked), WORD_RULES)
     tokens = F.filter(F.split(F.replace(spaced, F.lit(BREAK), F.lit(" ")), " ", -1), _not_empty)
 
     def parts(word: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tokens
+from ..functions.html import computed
 from ..functions.text import is_blank
 from .filters import missing_field
 
@@ -15,13 +16,13 @@ NLP_COLUMNS = (
 
 
 def nlp_values(concatenate: bool, run_ts: Column | None) -> dict[str, Column]:
-    """The enrichment columns from ``_text``, NULL where that is NULL."""
+    """The enrichment columns from ``_text`` and ``_marked``, NULL where those are."""
     stamp = F.current_timestamp() if run_ts is None else run_ts
     text = F.col("_text")
     done = text.isNotNull()
     return {
-        "sentences": tokens.sentences(text),
-        "words": tokens.words(text),
+        "sentences": tokens.sentences(text, F.col("_marked")),
+        "words": tokens.words(text, F.col("_marked")),
         "nlp_processed_at": F.when(done, stamp),
         "nlp_concatenated": F.when(done, F.lit(concatenate)),
         "nlp_text_used": text,
@@ -49,9 +50,10 @@ def nlp_enrich(
             for name, value in values.items()
         }
     others = [c for c in reviews.columns if c not in values]
-    return reviews.withColumn("_text", F.when(todo & ~is_blank(text), text)).select(
-        *others, *[value.alias(name) for name, value in values.items()]
-    )
+    # Sentences and words share the marked text.
+    used = reviews.withColumn("_text", F.when(todo & ~is_blank(text), text))
+    marked = computed(used, {"_marked": tokens.mark_sentences(F.col("_text"))})
+    return marked.select(*others, *[value.alias(name) for name, value in values.items()])
 
 
 def nlp_incremental(

@@ -86,6 +86,30 @@ def test_first_and_last_per_key(spark):
     assert plan(joins.first_per_key(df, "k", "o")).count("Aggregate(") == 2
 
 
+def test_hot_keys_end_to_end(spark):
+    """A third of all reviews belong to one product and carry one id."""
+    n = 3000
+    data = [
+        ("hot" if i % 3 == 0 else f"r{i}", "hot" if i % 3 == 0 else f"u{i % 100}", i % 5 + 1, i)
+        for i in range(n)
+    ]
+    reviews = spark.createDataFrame(data, "review_id string, product_url string, rating int, seq int")
+    reviews = reviews.withColumns({"verified_purchaser": F.lit(True), "helpful_count": F.lit(1)})
+    first = merge.first_review_per_key(reviews)
+    assert first.count() == len({d[0] for d in data})
+    assert first.filter("review_id = 'hot'").first().seq == 0
+    rollup = {r.product_url: r for r in stats.review_rollup_by_product(reviews).collect()}
+    assert rollup["hot"].reviews == n // 3 == rollup["hot"].helpful_total
+    assert sum(r.reviews for r in rollup.values()) == n
+    shown = filters.named_reviewers(
+        reviews.withColumn("reviewer", F.col("review_id")), ["product_url"], ["seq"]
+    )
+    assert rows(shown.filter("product_url = 'hot'").select("seq", "shown")) == [(0, 1), (3, 2), (6, 3)]
+    updates = first.select("review_id", F.lit("x").alias("mark"))
+    assert merge.keyed_update(reviews, updates).filter("mark = 'x'").count() == n
+    assert merge.keyed_update(reviews, updates, first_by="seq").filter("mark = 'x'").count() == first.count()
+
+
 # --- merging ----------------------------------------------------------------
 def test_upsert_is_idempotent(spark):
     old = spark.sql("SELECT 'u' product_url, 1.0D average_rating, timestamp'2025-01-01' extracted_at, 1 seq")
