@@ -15,10 +15,19 @@ from ..operators.joins import estimated_bytes, session_conf
 from ..operators.products import TEXT_FIELDS
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    files, where = _file_system(spark, path)
+    return files.exists(where)
+
+
+def is_file(spark: SparkSession, path: str) -> bool:
+    files, where = _file_system(spark, path)
+    return files.exists(where) and files.getFileStatus(where).isFile()
 
 
 def spread_small(df: DataFrame, key: str) -> DataFrame:

@@ -21,7 +21,7 @@ from ..operators.joins import lookup_join, unprocessed_products
 from ..operators.merge import new_rows_only
 from ..operators.nlp import nlp_incremental
 from ..operators.sentiment import sentiment_table
-from ..sources.readers import path_exists
+from ..sources.readers import is_file, path_exists
 
 Batch = Callable[[DataFrame, int], DataFrame]  # the new rows and the batch number
 
@@ -33,11 +33,13 @@ HARVESTED = StructType(
 
 
 def parquet_stream(
-    spark: SparkSession, path: str, schema: StructType, pattern: str | None = None, **options
+    spark: SparkSession, path: str, schema: StructType, **options
 ) -> DataFrame:
+    """New files of the folder at ``path``; a single file is watched in its folder."""
     reader = spark.readStream.schema(schema).options(**options)
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
+    if is_file(spark, path):
+        folder, _, name = path.rpartition("/")
+        return reader.option("pathGlobFilter", name).parquet(folder)
     return reader.parquet(path)
 
 

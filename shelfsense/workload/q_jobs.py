@@ -17,10 +17,12 @@ URL = "product_url"
 
 # --- streams ----------------------------------------------------------------
 def _document_stream(t: Tables):
-    """The stored documents, as a folder that is watched for files."""
-    return jobs.parquet_stream(
-        t.spark, t.folder, t.documents.schema, "documents.parquet", maxFilesPerTrigger=1
-    )
+    """The stored documents (a file or a folder of files) as a stream of new files.
+
+    Without a limit on files the first run takes all of them as one batch, so that what
+    is stored already is read once, not once per slice.
+    """
+    return jobs.parquet_stream(t.spark, t.path("documents"), t.documents.schema)
 
 
 def _as_reviews(t: Tables, documents):

@@ -359,6 +359,13 @@ def test_missing_and_broken_inputs(spark, tmp_path):
         readers.read_products(spark, str(broken), multi_line=True).collect()
 
 
+def test_page_files(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.html").write_text(f"<h1>{name}</h1>\n<p>x</p>")
+    got = extract.product_details(readers.read_page_files(spark, str(tmp_path)), "url")
+    assert [r.detailed_title for r in got.orderBy("url").collect()] == ["a", "b"]
+
+
 def test_json_array_and_keyed_object(spark, tmp_path):
     (tmp_path / "a.json").write_text('[\n {"title": "x", "product_url": "u"},\n {"title": "y"}\n]')
     assert rows(readers.read_products(spark, str(tmp_path / "a.json"), multi_line=True).select("title")) == [
@@ -425,6 +432,20 @@ def test_repeated_batch_replaces_its_own_output(spark, tmp_path):
     assert rows(jobs.written(spark, out)) == [("a", 1)]
 
 
+def test_stream_reads_files_and_folders(spark, tmp_path):
+    """The registered streams work on one file as on a folder of part files."""
+    from conftest import SMALL
+
+    from shelfsense.workload import runners
+
+    for name in ("part", "labels"):
+        spark.read.parquet(f"{SMALL}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    documents = spark.read.parquet(f"{SMALL}/documents.parquet")
+    documents.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    run = runners()["dedup_batch"]
+    assert rows(run(spark, str(tmp_path))) == rows(run(spark, SMALL))
+
+
 def test_observed_progress(spark, tmp_path):
     source = str(tmp_path / "src")
     spark.range(10).write.parquet(source)
