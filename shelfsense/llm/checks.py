@@ -1,0 +1,39 @@
+"""DuckDB SQL that must give the same rows as the queries of the same name."""
+
+_NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
+
+SQL = {
+    "op4_exact_dedup": f"""
+WITH d AS (SELECT doc_id, {_NORMAL} AS body FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       doc_id IS NOT DISTINCT FROM min(doc_id) OVER w AS kept, sha256(body) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY body)
+""",
+    "op5_decontamination": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), bw AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n,
+         array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g
+  FROM b, unnest(generate_series(1, len(w) - least(len(w), 10) + 1)) AS s(i) WHERE len(w) > 0
+), dw AS (
+  SELECT doc_id, k.n, i, array_to_string(w[i:i + k.n - 1], ' ') AS g
+  FROM d, (SELECT DISTINCT n FROM bw) AS k, unnest(generate_series(1, len(w) - k.n + 1)) AS s(i)
+), h AS (SELECT doc_id, n, i, item_id FROM dw JOIN bw USING (n, g)
+), hit AS (
+  SELECT doc_id, count(DISTINCT j) AS n_hit FROM (
+    SELECT DISTINCT doc_id, unnest(generate_series(i, i + n - 1)) AS j FROM h) GROUP BY doc_id
+), it AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items FROM (
+    SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM h) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+""",
+}
