@@ -8,11 +8,62 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import checks
-from .common import read
+from .common import id_remainder, read
 
 SHARDS = 40
 
 
+# Token shares wanted by the mixing query and by the pipeline.
+SOURCE_SHARES = {f"src{i}": 0.05 for i in range(20)}
+LANG_SHARES = {"de": 0.2, "en": 0.4, "es": 0.2, "fr": 0.2}
+TOPIC_SHARES = {"legal": 0.05, "noise": 0.05, "prose": 0.85, "table": 0.05}
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify, learn
+
+    docs = read(spark, sf_dir, "documents")
+    held_out = id_remainder(F.col("doc_id"), 4) == 2
+    found = identify(docs, learn(docs.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score, train
+
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    held_out = id_remainder(F.col("doc_id"), 5) == 0
+    model = train(docs.where(~held_out), labels.where(~held_out))
+    return score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import Mix, mixture
+
+    mix = Mix(SOURCE_SHARES, LANG_SHARES, TOPIC_SHARES)
+    return mixture(read(spark, sf_dir, "documents"), mix, keep=0.5)
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract_pages
+
+    return extract_pages(read(spark, sf_dir, "pages"))
+
+
+def op10_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .preference import preference_pairs
+
+    return preference_pairs(read(spark, sf_dir, "conversations"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import find_secrets, written
 
@@ -58,9 +109,15 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_secret_scan": op2_secret_scan,
+    "op3_toxicity": op3_toxicity,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_sharding": op6_sharding,
+    "op7_mixing": op7_mixing,
+    "op8_jaccard_join": op8_jaccard_join,
+    "op9_html_extraction": op9_html_extraction,
+    "op10_preference_formatting": op10_preference_formatting,
 }
 SQL: dict[str, str] = checks.SQL
