@@ -29,8 +29,8 @@ SKETCH_BITS = 20
 FREQUENT = 64
 GROUP = 16
 BAND = 1.25
-#: Pivot rounds go on until the pairs left are at most this many per document with entries.
-PAIRS_PER_DOC = 4
+#: Pivot rounds go on until the pairs left are at most this many times the entries.
+PAIRS_PER_ENTRY = 2
 ROUNDS = 12
 
 
@@ -200,7 +200,7 @@ def _linked(sets: DataFrame, percent: int) -> DataFrame:
     index = entries(sets, frequent_cells(sets), percent)
     shared = index.groupBy("entry").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
     open_entries = stored(index.join(shared, "entry").select("entry", "rid", "n").withColumn("label", F.col("rid")), "entries")
-    documents = open_entries.select("rid").distinct().count()
+    index_rows = open_entries.count()
     links = None
     for turn in range(ROUNDS):
         held = open_entries.groupBy("entry", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("entry").agg(
@@ -209,7 +209,7 @@ def _linked(sets: DataFrame, percent: int) -> DataFrame:
         pairs_left = held.where("labels > 1").agg(F.sum((F.col("all") * F.col("all") - F.col("inner")) / 2)).first()[0] or 0
         if not pairs_left:
             break
-        if pairs_left <= PAIRS_PER_DOC * documents or turn == ROUNDS - 1:
+        if pairs_left <= PAIRS_PER_ENTRY * index_rows or turn == ROUNDS - 1:
             other = open_entries.select(
                 "entry", F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("label").alias("label_b")
             )

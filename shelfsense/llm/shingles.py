@@ -86,10 +86,8 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
         return words
     wide = min(n, size)
     total = np.zeros(n - wide + 1, dtype=np.uint64)
-    weight = np.uint64(1)
-    for j in range(wide):
+    for j, weight in enumerate(_powers(_Q, wide)):
         total += words[j : n - wide + 1 + j] * weight
-        weight = weight * _Q
     return np.unique(mix(total + np.uint64(wide)))
 
 
