@@ -25,12 +25,14 @@ from .common import key_filter, may_contain, stored
 from .shingles import _Q, batch_words, mix, shingles, text_buffers
 
 SKETCH_BITS = 20
-#: A sketch cell is frequent from this many shingles above the mean cell.
-FREQUENT = 64
+#: A sketch cell is frequent from this many shingles above the mean cell, or three standard
+#: deviations of a cell of chance hits where those are more.
+FREQUENT = 24
 GROUP = 16
 BAND = 1.25
-#: Pivot rounds go on until the pairs left are at most this many times the entries.
-PAIRS_PER_ENTRY = 2
+#: Pivot rounds go on until the pairs left are at most this many times the index rows: what
+#: entries of rare shingles, with up to FREQUENT holders each, may come to.
+PAIRS_PER_ENTRY = FREQUENT // 2
 ROUNDS = 12
 
 
@@ -91,7 +93,7 @@ def frequent_cells(sets: DataFrame) -> np.ndarray:
     mean = (counted.agg(F.sum("hits")).first()[0] or 0) / (1 << SKETCH_BITS)
     flags = np.zeros(1 << SKETCH_BITS, dtype=bool)
     # At most one row per cell, whatever the corpus.
-    rows = counted.where(F.col("hits") >= mean + FREQUENT).select("cell").toPandas()
+    rows = counted.where(F.col("hits") >= mean + max(FREQUENT, 3 * mean**0.5)).select("cell").toPandas()
     flags[rows["cell"].to_numpy(dtype=np.int64)] = True
     return flags
 
@@ -168,6 +170,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _print_of(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def components(links: DataFrame) -> DataFrame:
     """``rid`` and ``label`` (smallest id of its component) of every linked id.
 
@@ -178,7 +184,7 @@ def components(links: DataFrame) -> DataFrame:
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(),
         "edges",
     )
-    seen = None
+    seen = _print_of(edges)
     while True:
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
@@ -187,7 +193,7 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stored(small.union(least).where("u != v").distinct(), "edges")
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        now = _print_of(edges)
         if now == seen:
             break
         seen = now
