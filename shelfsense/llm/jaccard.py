@@ -10,7 +10,9 @@ Wang et al. 2016), so no link is lost whatever the sketch says; it only decides
 
 Equal sets are one class from the start. Entries are then verified in rounds: every member of an
 entry against one pivot of it, which is linear in the entries. Members that are already in one
-component need not be compared. When the pairs left are few, they are verified one by one.
+component need not be compared. When the pairs left are few, they are verified one by one:
+members outside an entry's largest component meet the others, so a large group of near copies is
+never paired with itself.
 """
 
 from __future__ import annotations
@@ -30,14 +32,17 @@ SKETCH_BITS = 20
 FREQUENT = 24
 GROUP = 16
 BAND = 1.25
-#: Pivot rounds go on until the pairs left are at most this many times the index rows: what
-#: entries of rare shingles, with up to FREQUENT holders each, may come to.
-PAIRS_PER_ENTRY = FREQUENT // 2
+#: Pivot rounds go on until the pairs left are at most this many times the index rows. A pair is
+#: counted once per entry its sets share, but compared once, so this is far above the comparisons.
+PAIRS_PER_ENTRY = 64
+#: 64-bit words of a set's bitmap, one bit per shingle by hash. A bit that differs proves a shingle
+#: that only one of the sets has, so most pairs are refuted without moving their sets.
+BITMAP = 8
 ROUNDS = 12
 
 
 def shingle_sets(docs: DataFrame, size: int = 5) -> DataFrame:
-    """``doc_id``, ``n``, ``set_key`` (128 bits over the set) and ``shingles`` of every row."""
+    """``doc_id``, ``n``, ``set_key`` (128 bits over the set), ``shingles`` and ``bitmap`` of every row."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def work(batches):
@@ -53,13 +58,19 @@ def shingle_sets(docs: DataFrame, size: int = 5) -> DataFrame:
                 pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(flat.view(np.int64))
             )
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+            bits = np.zeros((len(sets), 64 * BITMAP), dtype=bool)
+            bits[np.repeat(np.arange(len(sets)), counts), (flat % np.uint64(64 * BITMAP)).astype(np.int64)] = True
+            maps = pa.ListArray.from_arrays(
+                pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BITMAP),
+                pa.array(np.packbits(bits, axis=1).reshape(-1).view(np.int64)),
+            )
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts), pa.array(keys, pa.binary()), lists],
-                ["doc_id", "n", "set_key", "shingles"],
+                [batch.column(0), pa.array(counts), pa.array(keys, pa.binary()), lists, maps],
+                ["doc_id", "n", "set_key", "shingles", "bitmap"],
             )
 
     return docs.select("doc_id", "text").mapInArrow(
-        work, f"doc_id {kind}, n bigint, set_key binary, shingles array<bigint>"
+        work, f"doc_id {kind}, n bigint, set_key binary, shingles array<bigint>, bitmap array<bigint>"
     )
 
 
@@ -154,6 +165,17 @@ def entries(sets: DataFrame, flags: np.ndarray, percent: int) -> DataFrame:
     return sets.select("doc_id", "shingles").mapInArrow(work, f"entry bigint, rid {kind}, n bigint")
 
 
+def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that bitmaps do not refute: linked sets differ in few enough shingles."""
+    maps = sets.select("doc_id", "n", "bitmap")
+    left = maps.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("ma"))
+    right = maps.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("mb"))
+    apart = sum(F.bit_count(F.col("ma")[i].bitwiseXOR(F.col("mb")[i])) for i in range(BITMAP))
+    # common >= t * union means union - common <= (1 - t) / (1 + t) * (na + nb).
+    few = (100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))
+    return pairs.join(left, "a").join(right, "b").where(few).select("a", "b")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
     used = pairs.select(F.col("a").alias("rid")).union(pairs.select("b"))
@@ -170,22 +192,24 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _print_of(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every id points at one id, which points nowhere: then nothing is left to do."""
+    ends = edges.selectExpr("u as id", "1 as tail", "0 as head").union(edges.selectExpr("v", "0", "1"))
+    roles = ends.groupBy("id").agg(F.sum("tail").alias("tails"), F.max("head").alias("head"))
+    return roles.where("tails > 1 or tails = 1 and head = 1").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
     """``rid`` and ``label`` (smallest id of its component) of every linked id.
 
     Large and small stars in turn (Kiveris et al. 2014): every id points at the smallest id it
-    knows of, until nothing changes. Neighbours are never gathered; a hub is a minimum per key.
+    knows of, until all are stars. Neighbours are never gathered; a hub is a minimum per key.
     """
     edges = stored(
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(),
         "edges",
     )
-    seen = _print_of(edges)
-    while True:
+    while not _are_stars(edges):
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -193,10 +217,6 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stored(small.union(least).where("u != v").distinct(), "edges")
-        now = _print_of(edges)
-        if now == seen:
-            break
-        seen = now
     tops = edges.select(F.col("u").alias("rid"), F.col("v").alias("label"))
     return tops.union(tops.select(F.col("label").alias("rid"), "label")).groupBy("rid").agg(F.min("label").alias("label"))
 
@@ -210,7 +230,8 @@ def _linked(sets: DataFrame, percent: int) -> DataFrame:
     links = None
     for turn in range(ROUNDS):
         held = open_entries.groupBy("entry", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("entry").agg(
-            F.count(F.lit(1)).alias("labels"), F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("inner")
+            F.count(F.lit(1)).alias("labels"), F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("inner"),
+            F.max(F.struct("m", "label"))["label"].alias("main"),
         )
         pairs_left = held.where("labels > 1").agg(F.sum((F.col("all") * F.col("all") - F.col("inner")) / 2)).first()[0] or 0
         if not pairs_left:
@@ -219,10 +240,11 @@ def _linked(sets: DataFrame, percent: int) -> DataFrame:
             other = open_entries.select(
                 "entry", F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("label").alias("label_b")
             )
+            beside = open_entries.join(held.select("entry", "main"), "entry").where("label != main")
             pairs = (
-                open_entries.join(other, "entry").where("rid < b and label != label_b")
+                beside.join(other, "entry").where("label != label_b and (rid < b or label_b = main)")
                 .where(100 * F.least("n", "nb") >= percent * F.greatest("n", "nb"))
-                .select(F.col("rid").alias("a"), "b").distinct()
+                .select(F.least("rid", "b").alias("a"), F.greatest("rid", "b").alias("b")).distinct()
             )
             last = True
         else:
@@ -239,7 +261,7 @@ def _linked(sets: DataFrame, percent: int) -> DataFrame:
                 .select(F.least("rid", "b").alias("a"), F.greatest("rid", "b").alias("b")).distinct()
             )
             last = False
-        found = stored(_verified(stored(pairs, "pairs"), sets, percent), "links")
+        found = stored(_verified(stored(_likely(pairs, sets, percent), "pairs"), sets, percent), "links")
         links = found if links is None else links.union(found)
         if last:
             break
