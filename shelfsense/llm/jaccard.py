@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import key_filter, may_contain, stored
-from .shingles import _Q, batch_words, mix, shingles, text_buffers
+from .shingles import _Q, batch_words, byte_slices, mix, shingles, text_buffers
 
 SKETCH_BITS = 20
 #: A sketch cell is frequent from this many shingles above the mean cell, or three standard
@@ -39,6 +39,8 @@ PAIRS_PER_ENTRY = 64
 #: that only one of the sets has, so most pairs are refuted without moving their sets.
 BITMAP = 8
 ROUNDS = 12
+#: Index entries written together by a task.
+BATCH = 50_000
 
 
 def shingle_sets(docs: DataFrame, size: int = 5) -> DataFrame:
@@ -48,7 +50,7 @@ def shingle_sets(docs: DataFrame, size: int = 5) -> DataFrame:
     def work(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in byte_slices(whole, 1)):
             raw, offsets = text_buffers(batch.column(1))
             words, limits = batch_words(raw, offsets)
             sets = [shingles(words[a:b], size) for a, b in zip(limits[:-1], limits[1:])]
@@ -142,25 +144,35 @@ def entries(sets: DataFrame, flags: np.ndarray, percent: int) -> DataFrame:
     kind = dict(sets.dtypes)["doc_id"]
     bits = np.packbits(flags)
 
-    def work(batches):
+    def packed(ids, made):
         import pyarrow as pa
 
+        at, n, found = zip(*made)
+        sizes = [len(f) for f in found]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate(found).view(np.int64)),
+                ids.take(pa.array(np.repeat(at, sizes))),
+                pa.array(np.repeat(n, sizes)),
+            ],
+            ["entry", "rid", "n"],
+        )
+
+    def work(batches):
         flags = np.unpackbits(bits).astype(bool)
         for batch in batches:
-            ids = batch.column(0)
+            ids, made, rows = batch.column(0), [], 0
             for at, tokens in enumerate(_lists(batch.column(1))):
                 if not len(tokens):
                     continue
                 found = set_entries(tokens, flags[tokens >> np.uint64(64 - SKETCH_BITS)], percent)
-                if len(found):
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(found.view(np.int64)),
-                            ids.take(pa.array(np.full(len(found), at))),
-                            pa.array(np.full(len(found), len(tokens))),
-                        ],
-                        ["entry", "rid", "n"],
-                    )
+                made.append((at, len(tokens), found))
+                rows += len(found)
+                if rows >= BATCH:
+                    yield packed(ids, made)
+                    made, rows = [], 0
+            if made:
+                yield packed(ids, made)
 
     return sets.select("doc_id", "shingles").mapInArrow(work, f"entry bigint, rid {kind}, n bigint")
 

@@ -102,3 +102,17 @@ def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.frombuffer(limits, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def byte_slices(batch, column: int, limit: int = 2 * CHUNK):
+    """``batch`` in runs of rows whose texts have about ``limit`` bytes at most; a longer text is
+    a run of its own. Keeps the work space of a run small whatever the batch holds."""
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy().astype(np.int64))
+    at = 0
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
