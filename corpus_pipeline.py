@@ -16,7 +16,7 @@ from shelfsense.llm.sharding import ring_shards
 
 #: Cosine below which a text is in none of the learned languages.
 MIN_SCORE = 0.05
-#: Share of the tokens the mixing stage aims to keep.
+#: Share of the tokens the mixing stage keeps at most; the target shares come first.
 KEEP = 0.95
 #: No SQL: bundling random vectors and raking are not written in SQL; tested by brute force.
 ORACLE_SQL = None
@@ -52,7 +52,7 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled so that their tokens approach the target shares."""
+    """Documents sampled so that their tokens meet the target shares in expectation."""
     shares = Mix(SOURCE_SHARES, LANG_SHARES, TOPIC_SHARES)
     rows = docs.withColumn("mix_text_hash", F.xxhash64("text"))
     chosen = (

@@ -3,7 +3,8 @@
 Tokens are summed over the cells source x language x topic. The classes of each dimension are
 those the targets name and one for all others, so the cells are bounded by the targets, however
 many sources the data has. Raking scales the cells until the token shares of every dimension
-meet its targets; a cell's factor becomes the probability with which its documents are kept.
+meet its targets; factors held within what sampling can give become the probabilities with which
+documents are kept.
 """
 
 from __future__ import annotations
@@ -42,13 +43,17 @@ def topic_of(text: Column) -> Column:
     )
 
 
-def rake(tokens: np.ndarray, targets: list[np.ndarray], rounds: int = 1000, tolerance: float = 1e-12) -> np.ndarray:
+def rake(
+    tokens: np.ndarray, targets: list[np.ndarray], rounds: int = 1000, tolerance: float = 1e-12, limit: float | None = None
+) -> np.ndarray:
     """Factors by which the cells of ``tokens`` meet the shares ``targets`` of each axis.
 
     Classes without tokens give their target to the others of their axis. Where zeros make the
-    targets unreachable, the last round stands.
+    targets unreachable, the last round stands. With ``limit`` every round starts by lowering the
+    factors above it.
     """
-    fitted = tokens / tokens.sum()
+    shares = tokens / tokens.sum()
+    fitted = shares.copy()
     wanted = []
     for axis, target in enumerate(targets):
         there = tokens.sum(axis=tuple(a for a in range(tokens.ndim) if a != axis)) > 0
@@ -56,6 +61,9 @@ def rake(tokens: np.ndarray, targets: list[np.ndarray], rounds: int = 1000, tole
         wanted.append(share / share.sum() if share.sum() > 0 else np.where(there, 1 / there.sum(), 0.0))
     for _ in range(rounds):
         worst = 0.0
+        if limit is not None:
+            worst = max(worst, float((fitted - limit * shares).max()))
+            fitted = np.minimum(fitted, limit * shares)
         for axis, share in enumerate(wanted):
             others = tuple(a for a in range(tokens.ndim) if a != axis)
             now = fitted.sum(axis=others)
@@ -64,28 +72,35 @@ def rake(tokens: np.ndarray, targets: list[np.ndarray], rounds: int = 1000, tole
             fitted = fitted * np.expand_dims(ratio, others)
         if worst < tolerance:
             break
-    return np.divide(fitted, tokens / tokens.sum(), out=np.zeros_like(fitted), where=tokens > 0)
+    return np.divide(fitted, shares, out=np.zeros_like(fitted), where=tokens > 0)
 
 
-def probabilities(tokens: np.ndarray, factors: np.ndarray, keep: float | None) -> np.ndarray:
-    """Keep probability of each cell: the factors scaled so that ``keep`` of all tokens is expected.
+def probabilities(tokens: np.ndarray, targets: list[np.ndarray], keep: float | None) -> np.ndarray:
+    """Keep probability of each cell, with the targets met in expectation.
 
-    Factors that would pass 1 stay at 1 and the others make up for them. Without ``keep`` the
-    largest factor becomes 1 and the targets are met exactly.
+    Factors times the kept share of all tokens are the probabilities, so no factor may pass its
+    reciprocal. The largest share for which such factors are found is taken, ``keep`` at most.
     """
+    factors = rake(tokens, targets)
     if not (factors > 0).any():
         return np.zeros_like(factors)
-    if keep is None:
-        return factors / factors.max()
-    low, high = 0.0, 1.0 / factors[factors > 0].min()
-    goal = min(keep * tokens.sum(), tokens[factors > 0].sum())
-    for _ in range(200):
+    most = 1.0 if keep is None else keep
+    share = min(most, 1 / factors.max())
+    chance, low, high = share * factors, share, most
+    for _ in range(10):
+        if high - low < 0.005 * high:
+            break
         middle = (low + high) / 2
-        if (tokens * np.minimum(1, middle * factors)).sum() < goal:
-            low = middle
-        else:
+        held = rake(tokens, targets, rounds=200, limit=1 / middle)
+        if not (tokens * held).sum():
             high = middle
-    return np.minimum(1, high * factors)
+            continue
+        held = held * rake(tokens * held, targets)  # the targets come first
+        found = min(middle, 1 / held.max())
+        if found > share:
+            share, chance = found, found * held
+        low, high = (middle, high) if found > 0.995 * middle else (low, middle)
+    return np.minimum(1, chance)
 
 
 def _cell_probabilities(counted: list, mix: Mix, keep: float | None) -> list[tuple]:
@@ -104,7 +119,7 @@ def _cell_probabilities(counted: list, mix: Mix, keep: float | None) -> list[tup
         scale = (1 - now[-1]) / there.sum() if there.sum() > 0 else 0
         targets.append(np.append(there * scale, now[-1]))
     factors = rake(tokens, targets)
-    chance = probabilities(tokens, factors, keep)
+    chance = probabilities(tokens, targets, keep)
     out = []
     for row in counted:
         place = tuple(c.index(row[d]) for c, d in zip(classes, DIMENSIONS))
@@ -124,7 +139,8 @@ def mixture(docs: DataFrame, mix: Mix, keep: float | None = None, seed: int = 1,
     name, or ``topic_of`` the text. Null classes and classes without a target are ``*``. A row is
     sampled if the hash of its id, or of its text where that is null, falls below the
     probability: equal rows share the decision and a repeated run repeats it. Rows without tokens
-    weigh nothing; if no row has any, all stay. An empty table gives no rows.
+    weigh nothing; if no row has any, all stay. An empty table gives no rows. As many tokens stay
+    as the targets allow, the share ``keep`` at most.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     topic = F.col("topic") if "topic" in docs.columns else topic_of(F.col("text"))

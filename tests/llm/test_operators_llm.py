@@ -167,6 +167,31 @@ def test_raking(spark, odd, none):
     assert mixture(odd, mix).count() == 10 and mixture(none, mix).count() == 0
 
 
+def test_sampled_shares_with_hot_source(spark):
+    """A source with a third of the tokens and scarce languages: the sampled rows have the target shares."""
+    from shelfsense.llm.mixing import DIMENSIONS, Mix, mixture
+
+    i, part = F.col("id"), lambda k: F.xxhash64(F.lit(k), "id") % 100
+    docs = spark.range(40_000).select(
+        i.alias("doc_id"), F.repeat(F.lit("word "), 10).alias("text"),
+        F.when(i % 3 == 0, "src0").otherwise(F.concat(F.lit("src"), (1 + i % 4).cast("string"))).alias("source"),
+        F.when(F.abs(part(1)) < 70, "en").when(F.abs(part(1)) < 90, "de").otherwise("es").alias("lang"),
+        F.when(F.abs(part(2)) < 90, "prose").otherwise("table").alias("topic"),
+    )
+    mix = Mix(
+        {"src0": 0.04, "src1": 0.24, "src2": 0.24, "src3": 0.24, "src4": 0.24},
+        {"en": 0.4, "de": 0.4, "es": 0.2}, {"prose": 0.8, "table": 0.2},
+    )
+    for keep in (None, 0.95, 0.2):
+        rows = mixture(docs, mix, keep=keep).where("sampled").cache()
+        kept = rows.count()
+        assert kept <= 40_000 * ((keep or 1) + 0.01)
+        assert kept >= 40_000 * (min(keep or 1, 0.35) - 0.01)  # de outside src0 allows 0.37 at most; scaling the largest factor to 1 gives less
+        for dimension in DIMENSIONS:
+            shares = {r[0]: r["count"] / kept for r in rows.groupBy(dimension).count().collect()}
+            assert shares == pytest.approx(getattr(mix, dimension), abs=0.012)
+
+
 def brute_components(rows):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}
