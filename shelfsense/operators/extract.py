@@ -350,9 +350,11 @@ def extract_reviews(pages: DataFrame, *keep: str) -> DataFrame:
 
 
 def paginate_union(
-    pages: DataFrame, max_pages: int = fixed.REVIEW_PAGE_CAP, page_no: str = "page_no"
+    pages: DataFrame, max_pages: int | None = None, page_no: str = "page_no"
 ) -> DataFrame:
-    """The first ``max_pages`` review pages of every product."""
+    """The review pages of every product; with ``max_pages`` the first ones only."""
+    if max_pages is None:
+        return pages
     return pages.filter(F.col(page_no) <= max_pages)
 
 

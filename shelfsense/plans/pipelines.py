@@ -7,7 +7,6 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .. import fixed_values as fixed
 from ..operators import extract, joins, merge, nlp, products, sentiment, stats
 from ..sources import writers
 
@@ -38,12 +37,13 @@ def harvest_reviews(
     stored_reviews: DataFrame,
     stored_ratings: DataFrame,
     run_ts: Column,
-    max_pages: int = fixed.HARVEST_PAGE_CAP,
+    max_pages: int | None = None,
 ) -> Harvest:
     """New reviews, the updated rating table and one result row per harvested product.
 
     ``pages`` holds product_url, page_no and html. Products with stored reviews are
-    skipped; reviews are taken only where the rating widget opens a review section.
+    skipped; reviews are taken only where the rating widget opens a review section. Every page is
+    read, or with ``max_pages`` the first ones of every product.
     """
     urls = product_table.select("product_url").distinct()
     todo = joins.unprocessed_products(urls, stored_reviews)

@@ -454,3 +454,22 @@ def test_observed_progress(spark, tmp_path):
     )
     query = jobs.run_available(stream, lambda df, _: df, str(tmp_path / "o"), str(tmp_path / "c"))
     assert sum(r["n"] for r in jobs.observed_progress(query, "rows")) == 10
+
+
+def test_harvest_reads_every_page(tables):
+    """Pages far down are read unless a limit is asked for."""
+    url = "product_url"
+    stored = tables.reviews_raw.filter("rating = 5")
+    run_ts = F.lit("2025-08-05 12:00:00").cast("timestamp")
+    ratings = tables.ratings_summary.withColumn("extracted_at", run_ts)
+    pages = tables.review_pages.select(
+        url, "html", F.when(F.col("page_no") > 1, F.lit(40)).otherwise(F.col("page_no")).alias("page_no")
+    )
+
+    def late(*limit):
+        job = pipelines.harvest_reviews(tables.products_raw, pages, stored, ratings, run_ts, *limit)
+        return job.reviews.filter("page_no = 40").count()
+
+    assert late() > 0 and late() == late(40) and late(39) == 0
+    assert extract.paginate_union(pages).count() == pages.count()
+    assert extract.paginate_union(pages, 1).count() == pages.filter("page_no = 1").count()
