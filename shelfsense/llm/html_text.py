@@ -3,10 +3,12 @@
 Each page becomes a tree of elements. For every element: C characters of text, T tags, LC and LT
 those inside links. Its density is C/T, adjusted for links by a logarithm whose base grows with
 the share of link text (an element made of links comes out near zero), after Sun, Song and Liao
-(2011). The element whose children's densities have the largest sum holds the main text; from it
-the choice climbs towards the body while the parent is as dense as the least dense element on
-the path to the body. Menus, notices, adverts and the like inside the choice are left out, and
-its blocks are written in page order. Everything is linear in the page and free of recursion.
+(2011). The element whose children's densities have the largest sum holds the main text; an
+article or main around it is taken whole. Without one the least dense element on its path to the
+body gives the threshold: beside the path, blocks with links below it are left out, those on or
+above it are treated like the page in turn, and blocks without links and paragraphs stay. Menus,
+notices, adverts and the like inside the choice are left out, and its blocks are written in page
+order. Everything is linear in the page and free of recursion.
 """
 
 from __future__ import annotations
@@ -49,6 +51,8 @@ CLOSES = {
     "tbody": ({"tbody", "thead", "tfoot"}, {"table"}), "tfoot": ({"tbody", "thead"}, {"table"}),
 }
 ENDS_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "summary"}
+#: Blocks of running text: left out for their links only if they are nothing but links.
+TEXTS = frozenset("blockquote dl figcaption h1 h2 h3 h4 h5 h6 hgroup p pre table".split())
 KEPT_NAMES = frozenset({"html", "body", "article", "main"})
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
@@ -130,8 +134,8 @@ def _is_beside(tag: str, attrs) -> bool:
     return False
 
 
-def densities(tree: Tree, out: list[bool]) -> tuple[list[float], list[float]]:
-    """Density of every element and the sum of its children's; unseen elements have no text."""
+def densities(tree: Tree, out: list[bool]) -> tuple[list[float], list[float], list[int]]:
+    """Density of every element, the sum of its children's, its characters in links; unseen elements have no text."""
     n = len(tree.names)
     chars, links = [0] * n, [0] * n
     tags, link_tags = [0] * n, [0] * n
@@ -162,7 +166,49 @@ def densities(tree: Tree, out: list[bool]) -> tuple[list[float], list[float]]:
                 density[i] = 0.0
         if i:
             sums[tree.parents[i]] += density[i]
-    return density, sums
+    return density, sums, links
+
+
+def chosen(tree: Tree, out: list[bool]) -> list[bool]:
+    """Whether the text directly in each element belongs to the main text."""
+    n, names, parents = len(tree.names), tree.names, tree.parents
+    density, sums, links = densities(tree, out)
+    score = [sums[i] or density[i] / 2 for i in range(n)]
+    best_in, children = list(range(n)), [[] for _ in range(n)]
+    for i in range(n - 1, 0, -1):
+        p = parents[i]
+        children[p].append(i)
+        if (score[best_in[i]], -best_in[i]) > (score[best_in[p]], -best_in[p]):
+            best_in[p] = best_in[i]
+    best = best_in[0]
+    body = next((i for i in range(n) if names[i] == "body"), 0)
+    path = [best]
+    while path[-1] not in (0, body):
+        path.append(parents[path[-1]])
+    whole, own = [False] * n, [False] * n
+    marked = next((i for i in path if names[i] in ("article", "main")), None)
+    if marked is not None:
+        whole[marked] = True
+    else:
+        threshold = min(density[i] for i in path)
+        top = [path[-1]]
+        while top:
+            r = top.pop()
+            i = best_in[r]
+            whole[i] = True
+            while i != r:
+                below, i = i, parents[i]
+                own[i] = True
+                for c in children[i]:
+                    if c == below or out[c]:
+                        continue
+                    if names[c] not in BLOCKS or not links[c] or (names[c] in TEXTS and density[c] > 0):
+                        whole[c] = True
+                    elif density[c] > 0 and density[c] >= threshold:
+                        top.append(c)
+    for i in range(1, n):
+        whole[i] = whole[i] or whole[parents[i]]
+    return [(whole[i] or own[i]) and not out[i] for i in range(n)]
 
 
 def main_text(html: str | None) -> str:
@@ -176,28 +222,13 @@ def main_text(html: str | None) -> str:
     out = [False] * n
     for i in range(1, n):
         out[i] = tree.beside[i] or out[parents[i]]
-    density, sums = densities(tree, out)
-    body = next((i for i in range(n) if names[i] == "body"), 0)
-    best = max(range(n), key=lambda i: (sums[i] or density[i] / 2, -i))
-    path = [best]
-    while path[-1] not in (0, body):
-        path.append(parents[path[-1]])
-    threshold = min(density[i] for i in path)
-    root = best
-    for i in path[1:]:
-        if names[root] in ("article", "main") or density[i] < threshold:
-            break
-        root = i
-    inside = [False] * n
-    inside[root] = True
-    for i in range(root + 1, n):
-        inside[i] = inside[parents[i]]
+    inside = chosen(tree, out)
     blocks, current = [], []
     for i, text in tree.content:
         if text is None:
             blocks.append("".join(current))
             current = []
-        elif inside[i] and not out[i]:
+        elif inside[i]:
             current.append(text)
     blocks.append("".join(current))
     return "\n".join(line for line in (" ".join(b.split()) for b in blocks) if line)

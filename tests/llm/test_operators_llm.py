@@ -265,6 +265,28 @@ def test_html(spark):
     assert extract_pages(pages.limit(0)).count() == 0
 
 
+def test_html_without_article():
+    """Unmarked blocks of links and teasers beside the text are left out, short text is not."""
+    from shelfsense.llm.html_text import main_text
+
+    text = [f"Paragraph {i} of the story goes on for long enough to be taken for running text." for i in range(5)]
+    story = "".join(f"<p>{t}</p>" for t in text)
+    links = "<div class=c1><ul>" + "".join(f"<li><a href=/{i}>Other page {i}</a></li>" for i in range(8)) + "</ul></div>"
+    teasers = "<div class=c2>" + "".join(
+        f"<div><a href=/t{i}>A teaser title {i}</a><span>more about it</span></div>" for i in range(4)
+    ) + "</div>"
+    for page in (
+        f"<div id=content>{story}</div>{links}", f"{links}<div id=content>{story}</div>{teasers}",
+        f"<div><div>{teasers}{links}</div><div id=content>{story}</div></div>",
+    ):
+        assert main_text(f"<html><body>{page}</body></html>").split("\n") == text
+    page = f"<html><body>{links}<h1>Title</h1><div><p>Short.</p><div>{story}</div></div><p>By <a href=/me>me</a></p></body></html>"
+    assert main_text(page).split("\n") == ["Title", "Short.", *text, "By me"]
+    two = f"<html><body>{links}<div>{story}</div>{teasers}<div>{story}</div></body></html>"
+    assert main_text(two).split("\n") == text + text
+    assert main_text(f"<html><body>{story}</body></html>").split("\n") == text
+
+
 def test_preference(spark):
     from shelfsense.llm.preference import format_pairs, preference_pairs
 
