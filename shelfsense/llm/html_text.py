@@ -41,6 +41,15 @@ MARKS = frozenset(
     "notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup "
     "comment comments disqus respond replies share sharing social related recommended pagination pager widget".split()
 )
+#: Of these, marks of other people's texts: they stay out however much of the page they are.
+REPLIES = frozenset("comment comments disqus respond replies".split())
+#: A class or id with one of these parts tells of the layout or a state, not of what the element is.
+_STATES = frozenset("with without no not has have is hide show".split())
+#: With one of these parts, header and the like mean the head of the text itself.
+_OF_TEXT = frozenset("article post entry story title".split())
+_HEADS = frozenset("header masthead".split())
+#: What an element is: part of the text, unseen, beside it by name, role, class or id, replies to it.
+TEXT, HIDDEN, BESIDE, REPLY = range(4)
 #: An opening tag ends open elements of these names (up to a closer ancestor of the second set).
 _CELLS = frozenset({"td", "th"})
 CLOSES = {
@@ -62,7 +71,7 @@ class Tree(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.names, self.parents, self.beside = ["html"], [-1], [False]
+        self.names, self.parents, self.beside = ["html"], [-1], [TEXT]
         #: (element, text) or (element, None) where a block begins or ends.
         self.content: list[tuple[int, str | None]] = []
         self.open = [0]
@@ -114,24 +123,71 @@ class Tree(HTMLParser):
         self.content.append((self.open[-1], data))
 
 
-def _is_beside(tag: str, attrs) -> bool:
-    if tag in UNSEEN or tag in ASIDE:
-        return True
+def _marks(value: str) -> set[str]:
+    """The marks among the words of a class or id attribute."""
+    found = set()
+    for token in value.split():
+        words = {word.lower() for word in _WORD.findall(token)}
+        if not words & _STATES:
+            found |= (words - _HEADS if words & _OF_TEXT else words) & MARKS
+    return found
+
+
+def _is_beside(tag: str, attrs) -> int:
+    if tag in UNSEEN:
+        return HIDDEN
+    found = BESIDE if tag in ASIDE else TEXT
     if tag in KEPT_NAMES:
-        return False
+        return found
     for name, value in attrs:
         value = value or ""
         if name in ("class", "id"):
-            if any(word.lower() in MARKS for word in _WORD.findall(value)):
-                return True
+            if marks := _marks(value):
+                found = max(found, REPLY if marks & REPLIES else BESIDE)
         elif name == "role":
             if value.lower() in ROLES:
-                return True
+                found = max(found, BESIDE)
         elif name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return HIDDEN
         elif name == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
-    return False
+            return HIDDEN
+    return found
+
+
+def left_out(tree: Tree) -> list[bool]:
+    """Whether each element is unseen or beside the text, by itself or with an element around it.
+
+    A wrapper is not beside the text if the page's only article or main with text is in it, or,
+    where there is none, most of the page's text.
+    """
+    n, parents = len(tree.names), tree.parents
+    unseen, in_link, marked = [False] * n, [False] * n, [False] * n
+    for i in range(1, n):
+        p = parents[i]
+        unseen[i] = tree.beside[i] == HIDDEN or unseen[p]
+        in_link[i] = tree.names[i] == "a" or in_link[p]
+        marked[i] = tree.beside[i] != TEXT or marked[p]
+    chars = [0] * n
+    for i, text in tree.content:
+        if text and not unseen[i] and not in_link[i]:
+            chars[i] += len("".join(text.split()))
+    beside = sum(c for c, m in zip(chars, marked) if m)
+    left = sum(chars) - beside
+    for i in range(n - 1, 0, -1):
+        chars[parents[i]] += chars[i]
+    texts = [i for i in range(n) if tree.names[i] in ("article", "main") and chars[i]]
+    kept = set()
+    if beside and all(marked[i] for i in texts):
+        if texts and chars[most := max(texts, key=lambda i: (chars[i], -i))] > left:
+            while most > 0:
+                kept.add(most)
+                most = parents[most]
+        else:
+            kept = {i for i in range(n) if 2 * chars[i] > chars[0] and tree.beside[i] != REPLY}
+    out = [False] * n
+    for i in range(1, n):
+        out[i] = out[parents[i]] or tree.beside[i] == HIDDEN or (tree.beside[i] != TEXT and i not in kept)
+    return out
 
 
 def densities(tree: Tree, out: list[bool]) -> tuple[list[float], list[float], list[int]]:
@@ -218,11 +274,7 @@ def main_text(html: str | None) -> str:
     tree = Tree()
     tree.feed(html)
     tree.close()
-    n, names, parents = len(tree.names), tree.names, tree.parents
-    out = [False] * n
-    for i in range(1, n):
-        out[i] = tree.beside[i] or out[parents[i]]
-    inside = chosen(tree, out)
+    inside = chosen(tree, left_out(tree))
     blocks, current = [], []
     for i, text in tree.content:
         if text is None:

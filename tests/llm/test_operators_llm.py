@@ -287,6 +287,27 @@ def test_html_without_article():
     assert main_text(f"<html><body>{story}</body></html>").split("\n") == text
 
 
+def test_html_marked_wrappers():
+    """A mark on a wrapper, or a word inside a class, does not drop the text; real marks still do."""
+    from shelfsense.llm.html_text import main_text
+
+    text = [f"Paragraph {i} of the story goes on for long enough to be taken for running text." for i in range(5)]
+    story = "".join(f"<p>{t}</p>" for t in text)
+    aside = "<div class=site-footer>About us</div><div class='cookie-banner'>We use cookies.</div>"
+    for name in ("layout with-sidebar", "no-sidebar", "has-header", "widget", "social", "main-nav social"):
+        for inner in (f"<article>{story}</article>", f"<div id=content>{story}</div>"):
+            page = f"<html><body>{aside}<div class='{name}'><div class=widget>{inner}<div class=sidebar>Side</div></div></div></body></html>"
+            assert main_text(page).split("\n") == text, (name, inner)
+    head = "<div class=article-header><h1>Title</h1></div>"
+    replies = "<div class=comments>" + "<article><p>I think that this is a very good story.</p></article>" * 20 + "</div>"
+    for around in ("article", "main"):
+        page = f"<html><body><div class=header>Shop</div><{around}>{head}{story}<div class=share>Share</div></{around}>{replies}</body></html>"
+        assert main_text(page).split("\n") == ["Title", *text]
+    assert main_text(f"<html><body><form>{story}</form><nav>Menu</nav></body></html>").split("\n") == text
+    assert main_text(f"<html><body><div hidden>{story}</div><p>Seen.</p></body></html>") == "Seen."
+    assert main_text("<html><body><nav><a href=x>Home</a></nav></body></html>") == ""
+
+
 def test_preference(spark):
     from shelfsense.llm.preference import format_pairs, preference_pairs
 
