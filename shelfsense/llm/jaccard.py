@@ -121,7 +121,9 @@ def set_entries(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.nd
     often, out = tokens[frequent], [mix(rare)]
     left = need - len(rare)
     band = int(np.floor(np.log(n) / np.log(BAND) + 1e-9))
-    for key in (band, band + 1):
+    # Linked sets differ by a factor of 100 / percent at most, so they have a band in common.
+    apart = int(np.ceil(np.log(100 / percent) / np.log(BAND) - 1e-9))
+    for key in range(band, band + max(1, apart) + 1):
         groups = max(1, int(BAND**key) // GROUP)
         group = (mix(often) % np.uint64(groups)).astype(np.int64)
         worth = np.ones(len(often), dtype=np.int64)

@@ -246,6 +246,24 @@ def test_prefix_entries_lose_no_link(share):
         assert len(np.intersect1d(set_entries(a, often[0], 80), set_entries(b, often[1], 80)))
 
 
+@pytest.mark.parametrize("percent", [30, 50, 70, 80])
+def test_entries_at_any_threshold(percent):
+    """Sets of very different sizes, all shingles frequent: a linked pair has a common entry."""
+    import numpy as np
+
+    from shelfsense.llm.jaccard import set_entries
+
+    rng = np.random.default_rng(5)
+    for n in (20, 85, 86, 90, 200, 500):
+        b = np.unique(rng.integers(1, 2**63, n * 100 // percent, dtype=np.uint64))
+        for less in (0, 1, 2):
+            a = np.sort(rng.permutation(b)[: min(len(b), n + less)])
+            if 100 * len(a) < percent * len(b):
+                continue
+            made = [set_entries(x, np.ones(len(x), dtype=bool), percent) for x in (a, b)]
+            assert len(np.intersect1d(*made))
+
+
 PAGE = """<html><body><nav><a href=x>Home</a> <a href=y>News</a></nav><div class="sidebar">Side text</div>
 <article><h1>Fish &amp; chips</h1><p>First  paragraph of
 the text, long enough to count.</p><p>Second paragraph, with a <a href=z>link</a> inside it.</p></article>
