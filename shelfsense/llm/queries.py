@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from . import checks
-from .common import id_remainder, read
+from .common import id_remainder, read, stored
 
 SHARDS = 40
 
@@ -108,6 +109,19 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_archives, row_of, write_archives
+
+    pages = read(spark, sf_dir, "pages")
+    kind = dict(pages.dtypes)["page_id"]
+    folder = scratch_path(spark, "warc")
+    files = stored(write_archives(pages, folder), "archives")
+    return read_archives(files, folder).where("record_type in ('response', 'revisit')").select(
+        row_of("record_id", kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        row_of("refers_to", kind).alias("refers_to"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_secret_scan": op2_secret_scan,
@@ -119,5 +133,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_html_extraction": op9_html_extraction,
     "op10_preference_formatting": op10_preference_formatting,
+    "op11_warc": op11_warc,
 }
 SQL: dict[str, str] = checks.SQL
