@@ -122,6 +122,20 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .clusters import cluster_vectors, with_totals
+
+    return with_totals(cluster_vectors(read(spark, sf_dir, "embeddings"))).select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
+    )
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import conversation_trie
+
+    return conversation_trie(read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_secret_scan": op2_secret_scan,
@@ -134,5 +148,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_extraction": op9_html_extraction,
     "op10_preference_formatting": op10_preference_formatting,
     "op11_warc": op11_warc,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 SQL: dict[str, str] = checks.SQL
