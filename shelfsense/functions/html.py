@@ -1,15 +1,17 @@
 """Extraction from stored HTML with native string functions.
 
-A selector is turned into the pattern of an opening tag. The text of the first
-matching element runs from that tag to the first closing tag of the same name, which
-is exact unless an element nests inside another of the same name; ``elements`` does
-follow nesting and is used where containers have to be cut out.
+A selector is turned into the pattern of an opening tag; attributes may be quoted or not. An
+element's end is found by balancing tags of its name, or, where matches lie inside each other,
+by one pass over all tags of the page that labels every element with the places of its opening
+and closing tag. Text is either the mere content or rendered: blocks and ``<br>`` begin new lines.
 """
 
 from __future__ import annotations
 
+import html as _html
 import re
 from collections.abc import Callable, Mapping, Sequence
+from html.entities import name2codepoint
 from itertools import permutations
 
 from pyspark.sql import Column, DataFrame
@@ -22,13 +24,22 @@ VOID_TAGS = (
     "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source",
     "track", "wbr",
 )
-ENTITIES = (
-    ("&nbsp;", "\xa0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'),
-    ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"),
-    ("&amp;", "&"),  # last, so that "&amp;lt;" stays "&lt;"
+# Elements that are rendered as lines of their own, and those that are set off by a blank.
+BLOCK_TAGS = (
+    "address", "article", "aside", "blockquote", "br", "center", "dd", "details", "dialog", "dir",
+    "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4",
+    "h5", "h6", "header", "hr", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section",
+    "summary", "table", "tbody", "tfoot", "thead", "tr", "ul",
 )
+CELL_TAGS = ("td", "th")
 # --- end of fixed values ----------------------------------------------------
 
+# Character references by name (those of HTML 4), and the numbers that stand for Windows-1252.
+NAMED = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'"}
+MOVED = {n: _html.unescape(f"&#{n};") for n in range(128, 160) if _html.unescape(f"&#{n};") != chr(n)}
+REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});"
+ANY_TAG = "</?[a-zA-Z][^>]*>"
+_BREAK = "\ue000"  # marks a line break until blanks around it are gone
 INVISIBLE = r"(?is)<script[\s>].*?</script\s*>|<style[\s>].*?</style\s*>|<!--.*?-->"
 _SELECTOR = re.compile(
     r"^(?P<tag>[a-z][a-z0-9]*)?(?P<cls>\.[\w-]+)?(?P<id>#[\w-]+)?"
@@ -37,10 +48,16 @@ _SELECTOR = re.compile(
 _ATTR = re.compile(r"\[([\w-]+)(?:([*^]?=)['\"]([^'\"]*)['\"])?\]")
 
 
-def _quoted(inside: str) -> str:
-    """A quoted attribute value; ``inside`` uses ``~`` for any run of other characters."""
+#: Anything before an attribute, whole quoted values at a time.
+_SKIP = r"(?:[^>\"']*(?:\"[^\"]*\"|'[^']*'))*?[^>\"']*?(?:\s|(?<=[\"']))"
+_BARE = r"[^\s\"'=<>`]"
+
+
+def _value(inside: str) -> str:
+    """An attribute value, quoted or not; ``inside`` uses ``~`` for any run of other characters."""
     double, single = inside.replace("~", '[^"]*'), inside.replace("~", "[^']*")
-    return f"(?:\"{double}\"|'{single}')"
+    bare = inside.replace(r"(?:~\s)?", "").replace(r"(?:\s~)?", "").replace("~", f"{_BARE}*")
+    return rf"(?:\"{double}\"|'{single}'|{bare}(?=[\s>]))"
 
 
 def _escape(value: str) -> str:
@@ -70,7 +87,7 @@ def _conditions(selector: str) -> tuple[str, dict[str, str], list[str]]:
                 "*=": f"~{_escape(value)}~",
             }[op]
     tag = f"(?i:{parts['tag']})" if parts["tag"] else "[a-zA-Z][a-zA-Z0-9-]*"
-    return tag, {name: f"{name}={_quoted(p)}" for name, p in inside.items()}, words
+    return tag, {name: rf"{name}\s*=\s*{_value(p)}" for name, p in inside.items()}, words
 
 
 def opening_tag(selector: str) -> str:
@@ -78,11 +95,8 @@ def opening_tag(selector: str) -> str:
     tag, attributes, _ = _conditions(selector)
     if not attributes:
         return rf"<{tag}(?:\s[^>]*)?>"
-    orders = [
-        r"(?:[^>]*?[\s\"'])?" + r"[^>]*?[\s\"']".join(order)
-        for order in permutations(attributes.values())
-    ]
-    return rf"<{tag}\s(?:{'|'.join(orders)})[^>]*>"
+    orders = [rf"(?:{_SKIP})?" + _SKIP.join(order) for order in permutations(attributes.values())]
+    return rf"<{tag}\s+(?:{'|'.join(orders)})[^>]*>"
 
 
 def needed_words(selector: str) -> list[str]:
@@ -104,16 +118,55 @@ def visible(html: Column) -> Column:
     return F.regexp_replace(html, INVISIBLE, "")
 
 
+def _character(code: Column) -> Column:
+    """The character with that number, from its UTF-8 bytes; numbers without one give U+FFFD."""
+    low = [F.shiftright(code, shift).bitwiseAND(63) + 128 for shift in (0, 6, 12)]
+    two = (F.shiftright(code, 6) + 192) * 256 + low[0]
+    three = ((F.shiftright(code, 12) + 224) * 256 + low[1]) * 256 + low[0]
+    four = (((F.shiftright(code, 18) + 240) * 256 + low[2]) * 256 + low[1]) * 256 + low[0]
+    coded = F.when(code < 128, code).when(code < 2048, two).when(code < 65536, three).otherwise(four)
+    known = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    moved = F.map_from_arrays(F.lit(list(MOVED)), F.lit(list(MOVED.values())))
+    plain = F.decode(F.unhex(F.hex(F.when(known, coded).otherwise(0xEFBFBD))), "UTF-8")
+    return F.when(code.between(128, 159), F.coalesce(F.try_element_at(moved, code.cast("int")), plain)).otherwise(plain)
+
+
+def _referred(reference: Column) -> Column:
+    """What a character reference stands for; an unknown name stands for itself."""
+    names = F.map_from_arrays(F.lit(list(NAMED)), F.lit(list(NAMED.values())))
+    body = F.substr(reference, F.lit(3), F.length(reference) - 3)
+    number = F.when(F.lower(F.left(body, F.lit(1))) == "x", F.conv(F.substr(body, F.lit(2)), 16, 10)).otherwise(body)
+    name = F.substr(reference, F.lit(2), F.length(reference) - 2)
+    return F.when(F.substr(reference, F.lit(2), F.lit(1)) == "#", _character(number.try_cast("bigint"))).otherwise(
+        F.coalesce(F.try_element_at(names, name), reference)
+    )
+
+
 def decode_entities(text: Column) -> Column:
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    """Character references read once, from left to right, so that ``&amp;lt;`` gives ``&lt;``."""
+    pieces = F.zip_with(
+        F.split(text, REFERENCE, -1),
+        F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)), _referred),
+        lambda gap, character: F.array(gap, character),
+    )
+    return F.when(text.contains("&"), F.array_join(F.flatten(pieces), "")).otherwise(text)
 
 
 def inner_text(inner: Column) -> Column:
+    """The content without tags, as it stands."""
     return strip(decode_entities(F.regexp_replace(inner, "<[^>]*>", "")))
 
 
+def rendered_text(inner: Column) -> Column:
+    """The content as lines: blocks and ``<br>`` end the line before and after them, cells of a
+    table are set off by a blank. Line breaks that stand in the text itself are kept."""
+    blocks = rf"(?i)</?(?:{'|'.join(BLOCK_TAGS)})(?:[\s/][^>]*)?>"
+    cells = rf"(?i)</(?:{'|'.join(CELL_TAGS)})\s*>"
+    broken = F.regexp_replace(F.regexp_replace(inner, blocks, _BREAK), cells, " ")
+    lines = F.regexp_replace(F.regexp_replace(broken, "<[^>]*>", ""), rf"[ \t\r\n\f]*{_BREAK}[ \t\r\n\f{_BREAK}]*", "\n")
+    return F.when(inner.contains("<"), strip(decode_entities(lines))).otherwise(strip(decode_entities(inner)))
+
+
 def tag_name(tag: Column) -> Column:
     return F.lower(F.regexp_extract(tag, "^<([a-zA-Z][a-zA-Z0-9-]*)", 1))
 
@@ -123,18 +176,22 @@ def after(html: Column, tag: Column) -> Column:
 
 
 def first_inner(html: Column, tag: Column) -> Column:
-    """What lies between the opening tag ``tag`` and the next closing tag of its name."""
+    """What lies between the opening tag ``tag`` and the closing tag that belongs to it."""
     name = tag_name(tag)
-    cut = F.call_function(
-        "substring_index", after(html, tag), F.concat(F.lit("</"), name, F.lit(">")), F.lit(1)
-    )
-    return F.when(name.isin(*VOID_TAGS), F.lit("")).otherwise(cut)
+    close = F.concat(F.lit("</"), name, F.lit(">"))
+
+    def cut(rest: Column) -> Column:
+        near = F.call_function("substring_index", rest, close, F.lit(1))
+        nested = F.lower(near).contains(F.concat(F.lit("<"), name)) | (F.length(near) == F.length(rest))
+        return F.when(nested, balanced_inner(rest, name)).otherwise(near)
+
+    return F.when(name.isin(*VOID_TAGS), F.lit("")).otherwise(bind(after(html, tag), cut))
 
 
 def attribute(tag: Column, name: str) -> Column:
-    """An attribute of an opening tag, NULL when absent."""
-    pattern = rf"[\s\"']{name}=(?:\"([^\"]*)\"|'([^']*)')"
-    value = F.concat(F.regexp_extract(tag, pattern, 1), F.regexp_extract(tag, pattern, 2))
+    """An attribute of an opening tag, NULL when absent; its value may stand without quotes."""
+    pattern = rf"^<[^\s>]+{_SKIP}{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|({_BARE}+))"
+    value = F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])
     return F.when(F.regexp_like(tag, F.lit(pattern)), decode_entities(value))
 
 
@@ -154,11 +211,15 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def with_texts(
-    df: DataFrame, html: str, fields: Mapping[str, Sequence[str]]
+    df: DataFrame,
+    html: str,
+    fields: Mapping[str, Sequence[str]],
+    text: Callable[[Column], Column] = inner_text,
 ) -> DataFrame:
     """Add one text column per field: the first selector with a non-empty text wins.
 
     When elements match but all are empty the result is empty, and NULL when none match.
+    ``text`` makes it of an element's content: ``inner_text`` or ``rendered_text``.
     """
     tags = {
         f"_{field}": F.filter(
@@ -168,7 +229,7 @@ def with_texts(
     }
     texts = {
         f"_{field}_texts": F.transform(
-            F.col(f"_{field}"), lambda tag: inner_text(first_inner(F.col(html), tag))
+            F.col(f"_{field}"), lambda tag: text(first_inner(F.col(html), tag))
         )
         for field in fields
     }
@@ -184,43 +245,106 @@ def with_texts(
     )
 
 
-def elements(html: Column, selector: str) -> Column:
-    """Inner HTML of every element matching ``selector``, in order, following nesting.
+def elements(html: Column, selector: str, outer: bool = False) -> Column:
+    """Inner HTML (with ``outer`` the tags as well) of every element matching ``selector``, in order.
 
-    The closing tag of an element is the first one before which its tag name was
-    closed as often as it was opened.
+    Mostly an element closes before the next match, so the text up to there will do. Where one
+    does not, all elements of the page are labelled in one pass.
     """
     pattern = opening_tag(selector)
-    parts = F.struct(
+    matches = F.struct(
         F.regexp_extract_all(html, F.lit(pattern), F.lit(0)).alias("tags"),
         F.split(html, pattern, -1).alias("gaps"),
     )
 
-    def rest(found: Column, i: Column) -> Column:
-        """The page from just behind opening tag number ``i`` (from 0)."""
-        done = F.aggregate(
-            F.sequence(F.lit(0), i),
-            F.lit(0),
-            lambda size, j: size
-            + F.length(F.get(found["gaps"], j))
-            + F.length(F.get(found["tags"], j)),
-        )
-        return F.substr(html, done + 1)
+    def whole(tag: Column, inner: Column) -> Column:
+        if not outer:
+            return inner
+        closing = F.concat(F.lit("</"), tag_name(tag), F.lit(">"))
+        return F.when(tag_name(tag).isin(*VOID_TAGS), tag).otherwise(F.concat(tag, inner, closing))
 
-    def inner(found: Column, tag: Column, i: Column) -> Column:
-        # Mostly the element closes before the next match, so the text up to there will
-        # do; only a match inside a match needs the rest of the page.
-        near = balanced(F.get(found["gaps"], i + 1), tag_name(tag))
+    def cut(found: Column) -> Column:
+        near = F.transform(found["tags"], lambda tag, i: balanced(F.get(found["gaps"], i + 1), tag_name(tag)))
         return bind(
             near,
-            lambda n: F.when(n["closed"], n["inner"]).otherwise(
-                balanced_inner(rest(found, i), tag_name(tag))
-            ),
+            lambda each: F.when(
+                F.forall(each, lambda n: n["closed"]),
+                F.transform(each, lambda n, i: whole(F.get(found["tags"], i), n["inner"])),
+            ).otherwise(_labelled(html, pattern, whole)),
         )
 
-    return bind(
-        parts,
-        lambda found: F.transform(found["tags"], lambda tag, i: inner(found, tag, i)),
+    return bind(matches, cut)
+
+
+def _labelled(html: Column, pattern: str, whole: Callable[[Column, Column], Column]) -> Column:
+    """The elements whose opening tag matches, from the intervals of all elements of the page."""
+    page = F.struct(
+        F.regexp_extract_all(html, F.lit(ANY_TAG), F.lit(0)).alias("tags"),
+        F.split(html, ANY_TAG, -1).alias("gaps"),
+    )
+
+    def matching(found: Column) -> Column:
+        pieces = F.flatten(F.zip_with(found["gaps"], found["tags"], lambda gap, tag: F.array(gap, tag)))
+        labelled = F.struct(intervals(found["tags"]).alias("spans"), pieces.alias("pieces"))
+        return bind(labelled, lambda parts: F.transform(
+            F.filter(parts["spans"], lambda span: F.regexp_like(F.get(found["tags"], span["at"]), F.lit(f"^{pattern}$"))),
+            lambda span: whole(F.get(found["tags"], span["at"]), between(parts["pieces"], span)),
+        ))
+
+    def between(pieces: Column, span: Column) -> Column:
+        length = F.greatest(F.lit(0), 2 * (span["to"] - span["at"]) - 1)
+        return F.array_join(F.slice(pieces, 2 * span["at"] + 3, length), "")
+
+    return bind(page, matching)
+
+
+def intervals(tags: Column) -> Column:
+    """``at`` and ``to`` of every element, in order: the numbers of its opening and closing tag.
+
+    One fold with a stack of open elements. A closing tag ends the last open element of its name
+    and those opened since; what never closes ends behind the last tag, a void element at once.
+    """
+    read = F.transform(
+        tags,
+        lambda tag, i: F.struct(
+            F.lower(F.regexp_extract(tag, "^</?([a-zA-Z][a-zA-Z0-9-]*)", 1)).alias("name"),
+            tag.startswith("</").alias("closing"),
+            i.alias("at"),
+        ),
+    )
+    start = F.struct(
+        F.array().cast("array<struct<name:string,at:int>>").alias("open"),
+        F.array().cast("array<struct<at:int,to:int>>").alias("spans"),
+    )
+
+    def state(is_open: Column, spans: Column) -> Column:
+        return F.struct(is_open.alias("open"), spans.alias("spans"))
+
+    def ended(elements: Column, to: Column) -> Column:
+        return F.transform(elements, lambda e: F.struct(e["at"].alias("at"), to.alias("to")))
+
+    def close(now: Column, tag: Column) -> Column:
+        names = F.reverse(F.transform(now["open"], lambda e: e["name"]))
+        return bind(
+            F.array_position(names, tag["name"]).cast("int"),
+            lambda up: F.when(up == 0, now).otherwise(state(
+                F.slice(now["open"], F.lit(1), F.size(now["open"]) - up),
+                F.concat(now["spans"], ended(F.slice(now["open"], F.size(now["open"]) - up + 1, up), tag["at"])),
+            )),
+        )
+
+    def step(now: Column, tag: Column) -> Column:
+        alone = F.struct(tag["at"].alias("at"), tag["at"].alias("to"))
+        opened = F.struct(tag["name"].alias("name"), tag["at"].alias("at"))
+        return (
+            F.when(tag["closing"], close(now, tag))
+            .when(tag["name"].isin(*VOID_TAGS), state(now["open"], F.concat(now["spans"], F.array(alone))))
+            .otherwise(state(F.concat(now["open"], F.array(opened)), now["spans"]))
+        )
+
+    return F.aggregate(
+        read, start, step,
+        lambda now: F.array_sort(F.concat(now["spans"], ended(now["open"], F.size(tags)))),
     )
 
 

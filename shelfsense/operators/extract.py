@@ -21,6 +21,7 @@ from ..functions.html import (
     needed_words,
     opener,
     opening_tag,
+    rendered_text,
     tag_name,
     visible,
     with_texts,
@@ -28,9 +29,8 @@ from ..functions.html import (
 from ..functions.text import non_empty
 from ..functions.url import resolve_url
 
-ARTICLE = r"(?is)<article(?:\s[^>]*)?>(.*?)</article\s*>"
 BUTTON = r"(?is)<button(?:\s[^>]*)?>(.*?)</button\s*>"
-SECTION = "(?s)" + opening_tag("section[id^='bv-review-']") + r".*?</(?i:section)\s*>"
+SECTION = "section[id^='bv-review-']"
 ID_BV = r"[\s\"']id=(?:\"[^\"]*BV[^\"]*\"|'[^']*BV[^']*')"
 LINK_OR_BUTTON = r"(?is)<(?:a|button)(?:\s[^>]*)?>.*?</(?:a|button)\s*>"
 
@@ -45,11 +45,6 @@ def _visible_pages(pages: DataFrame, keep: tuple[str, ...]) -> DataFrame:
 def cards(html: Column, selectors=fixed.CARD_SELECTORS) -> Column:
     """Inner HTML of all cards: those of the first selector that matches anything."""
 
-    def found(selector: str) -> Column:
-        if selector == "article":
-            return F.regexp_extract_all(html, F.lit(ARTICLE), F.lit(1))
-        return elements(html, selector)
-
     def present(selector: str) -> Column:
         words = needed_words(selector) or [f"<{selector}"]
         named = reduce(lambda a, b: a & b, (html.contains(word) for word in words))
@@ -57,7 +52,7 @@ def cards(html: Column, selectors=fixed.CARD_SELECTORS) -> Column:
 
     chosen = F.array().cast("array<string>")
     for selector in reversed(selectors):
-        chosen = F.when(present(selector), found(selector)).otherwise(chosen)
+        chosen = F.when(present(selector), elements(html, selector)).otherwise(chosen)
     return chosen
 
 
@@ -88,7 +83,7 @@ def card_link(card: Column, base: Column | None = None, selectors=fixed.LINK_SEL
 
 def card_fields(card_table: DataFrame, card: str = "card", base: str | None = None) -> DataFrame:
     texts = with_texts(
-        card_table, card, {"title": fixed.TITLE_SELECTORS, "price": fixed.PRICE_SELECTORS}
+        card_table, card, {"title": fixed.TITLE_SELECTORS, "price": fixed.PRICE_SELECTORS}, rendered_text
     )
     link = card_link(F.col(card), F.col(base) if base else None)
     return computed(texts, {"product_url": link})
@@ -120,7 +115,7 @@ def product_details(pages: DataFrame, *keep: str) -> DataFrame:
         "sku": fixed.SKU_SELECTORS,
         "description": fixed.DESCRIPTION_SELECTORS,
     }
-    return with_texts(source, "_html", fields).select(*keep, *fields)
+    return with_texts(source, "_html", fields, rendered_text).select(*keep, *fields)
 
 
 # --- rating widget ----------------------------------------------------------
@@ -263,7 +258,7 @@ def review_signals(html: Column, phrases=fixed.REVIEW_PHRASES) -> dict[str, Colu
         "in_container": F.coalesce(
             F.regexp_like(
                 container(html, "reviews_container"),
-                F.lit(opening_tag("section[id^='bv-review-']")),
+                F.lit(opening_tag(SECTION)),
             ),
             F.lit(False),
         ),
@@ -294,7 +289,7 @@ def review_sections(pages: DataFrame, *keep: str) -> DataFrame:
         )
         .select(
             *keep,
-            F.posexplode(F.regexp_extract_all("_inside", F.lit(SECTION), F.lit(0))).alias(
+            F.posexplode(elements(F.col("_inside"), SECTION, outer=True)).alias(
                 "position", "section"
             ),
         )
@@ -319,7 +314,7 @@ def review_fields(sections: DataFrame, section: str = "section") -> DataFrame:
     helpful = opener(html, "button[aria-label*='people found this review']")
     return texts.withColumns(
         {
-            "review_id": attribute(opener(html, "section[id^='bv-review-']"), "id"),
+            "review_id": attribute(opener(html, SECTION), "id"),
             "rating": r.stars(attribute(stars, "aria-label")),
             "verified": opener(html, "[title*='purchased the product']") != "",
             "helpful": r.helpful_count(attribute(helpful, "aria-label")),

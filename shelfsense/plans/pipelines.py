@@ -142,7 +142,14 @@ def score_reviews(
     key: str = "review_id",
     run_ts: Column | None = None,
 ) -> DataFrame:
-    """The review table after an incremental sentiment run."""
+    """The review table after an incremental sentiment run.
+
+    Reviews are scored in place where the lexicon is small enough to go along with the plan and
+    the first of several rows with one id is known by ``seq``.
+    """
+    lexicon = sentiment.carried_words(words) if limit is None else None
+    if lexicon is not None and (key != "review_id" or "seq" in reviews.columns):
+        return sentiment.score_in_place(reviews, lexicon, force, key, run_ts)
     updates = sentiment.sentiment_incremental(reviews, words, limit, force, key, run_ts)
     return merge.keyed_update(reviews, updates, key)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution carries the physical decisions: partition counts, broadcast
 # conversion from measured sizes, and splitting of skewed join partitions.
@@ -54,3 +54,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="shelfsense-")
     return f"{root.rstrip('/')}/shelfsense/{name}-{uuid.uuid4().hex}"
+
+
+def measured(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the scratch folder and read back, so that joins with it know its size."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

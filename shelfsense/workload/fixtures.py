@@ -212,3 +212,20 @@ SELECT concat(lpad(CAST(l_partkey AS STRING), 7, '0'), 'p') AS product_id, l_shi
   l_orderkey * 10 + l_linenumber AS line
 FROM {lineitem}
 """
+
+# Listing pages whose cards hold blocks inside blocks, a card inside a card, unquoted attributes
+# and character references of all kinds.
+FIXTURES["nested_pages"] = """
+SELECT k, concat('https://shop.example.com/en/list/', CAST(k AS STRING), '.html') AS url,
+  concat('<html><body><div class="product-card bundle"><div><h3><span>Kit</span> <b>', CAST(k AS STRING),
+    '</b> caf&eacute;&reg;</h3></div><a href=/en/pdp/kit-', CAST(k AS STRING), 'p.html>open</a>',
+    '<div class=price><div><div>$', CAST(100 + k % 900 AS STRING), '.50</div></div>',
+    CASE k % 3 WHEN 0 THEN concat('<div class="save"><div>Save ', CAST(1 + k % 60 AS STRING), '% (&#36;', CAST(1 + k % 40 AS STRING),
+      '.25)</div></div><p>price was <s>&#x24;1,', lpad(CAST(k % 1000 AS STRING), 3, '0'), '.99</s><br>Ends August 07, 2025<br/></p>')
+      WHEN 1 THEN '<ul><li>Ends <em>May&nbsp;1</em></li></ul>' ELSE '' END, '</div>',
+    '<div class="product-card"><h3>Part &#8217;', CAST(k AS STRING), '&rsquo; &amp;lt; &#146;&#128690;</h3>',
+    '<a title="x href=/no" href=''/en/pdp/part-', CAST(k AS STRING), 'p.html''>open</a></div></div>',
+    '<div class="product-card"><table><tr><td>Spare</td><td>', CAST(k AS STRING), '</td></tr></table>',
+    '<h4>Spare<br>', CAST(k AS STRING), '</h4><a href="/help">help</a></div></body></html>') AS html
+FROM {products_raw}
+"""

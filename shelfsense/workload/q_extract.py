@@ -6,14 +6,20 @@ any pattern with the engine; the given pages are checked with plain expressions.
 
 from pyspark.sql import functions as F
 
+from ..functions import product
 from ..functions import rating as r
-from ..functions.html import ENTITIES, INVISIBLE
+from ..functions.html import INVISIBLE
 from ..operators import extract
 from . import sqlkit as q
 from .. import fixed_values as fixed
 from .registry import Tables, query
 
 URL = "product_url"
+# The references that the given pages hold; the last comes last, so that "&amp;lt;" stays "&lt;".
+ENTITIES = (
+    ("&nbsp;", "\xa0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'),
+    ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),
+)
 _VISIBLE = f"regexp_replace(html, '{INVISIBLE}', '', 'g')"
 
 
@@ -104,6 +110,46 @@ def pages_without_cards(t: Tables):
     return extract.pages_without_cards(t.listing_pages).select("k", "url")
 
 
+# --- blocks in blocks, cards in cards ----------------------------------------
+_SHOP = "'https://shop.example.com"
+_NESTED = f"""card AS (
+  SELECT k, CAST(1 AS INTEGER) AS position, 'Kit ' || {_KEY} || ' caf' || chr(233) || chr(174) AS title,
+    {_SHOP}/en/pdp/kit-' || {_KEY} || 'p.html' AS product_url, 100 + k % 900 + 0.5 AS amount,
+    k % 3 = 0 AS discounted, CASE k % 3 WHEN 0 THEN 'August 07, 2025' WHEN 1 THEN 'May' || chr(160) || '1' END AS ends
+  FROM products_raw
+  UNION ALL SELECT k, 2, 'Part ' || chr(8217) || {_KEY} || chr(8217) || ' &lt; ' || chr(8217) || chr(128690),
+    {_SHOP}/en/pdp/part-' || {_KEY} || 'p.html', NULL, false, NULL FROM products_raw
+  UNION ALL SELECT k, 3, 'Spare' || chr(10) || {_KEY}, {_SHOP}/help', NULL, false, NULL FROM products_raw)"""
+
+
+@query("nested_cards", f"WITH {_NESTED} SELECT k, position, title, product_url FROM card")
+def nested_cards(t: Tables):
+    return extract.product_listing(t.nested_pages, "k").select("k", "position", "title", URL)
+
+
+@query(
+    "listing_discounts",
+    f"""WITH {_NESTED} SELECT k, position, CAST(amount AS DOUBLE) AS price,
+      CASE WHEN discounted THEN CAST(1 + k % 60 AS INTEGER) END AS discount_percentage,
+      CASE WHEN discounted THEN CAST(1 + k % 40 + 0.25 AS DOUBLE) END AS discount_amount,
+      CASE WHEN discounted THEN CAST(1000 + k % 1000 + 0.99 AS DOUBLE) END AS original_price,
+      ends AS ends_date FROM card""",
+)
+def listing_discounts(t: Tables):
+    """From stored pages to the discount columns, through a price block of several lines.
+
+    A card's own price comes first, so the outer card does not take the price of the inner one.
+    """
+    price = F.col("price")
+    return extract.product_listing(t.nested_pages, "k").select(
+        "k", "position", product.clean_price(price).alias("price"),
+        product.discount_percentage(price).alias("discount_percentage"),
+        product.discount_amount(price).alias("discount_amount"),
+        product.original_price(price).alias("original_price"),
+        product.discount_ends(price).alias("ends_date"),
+    )
+
+
 # --- product details --------------------------------------------------------
 @query(
     "product_details",
