@@ -75,25 +75,28 @@ class Tree(HTMLParser):
         #: (element, text) or (element, None) where a block begins or ends.
         self.content: list[tuple[int, str | None]] = []
         self.open = [0]
+        #: Where in ``open`` elements of a name are, the innermost last.
+        self.places: dict[str, list[int]] = {}
 
     def _close_to(self, depth: int) -> None:
         for index in self.open[depth:]:
             if self.names[index] in BLOCKS:
                 self.content.append((index, None))
                 break
+        for index in self.open[depth:]:
+            self.places[self.names[index]].pop()
         del self.open[depth:]
 
+    def _innermost(self, names) -> int:
+        return max((self.places[name][-1] for name in names if self.places.get(name)), default=0)
+
     def _find(self, names, stops) -> int:
-        for depth in range(len(self.open) - 1, 0, -1):
-            name = self.names[self.open[depth]]
-            if name in names:
-                return depth
-            if name in stops:
-                break
-        return 0
+        """Place of the innermost open element of ``names``; 0 if one of ``stops`` is further in."""
+        depth = self._innermost(names)
+        return depth if depth and depth >= self._innermost(stops) else 0
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("html", "body") and any(self.names[i] == tag for i in self.open[1:]):
+        if tag in ("html", "body") and self.places.get(tag):
             return
         if tag in ENDS_P and (depth := self._find({"p"}, _CELLS | {"div", "li", "article", "section"})):
             self._close_to(depth)
@@ -108,6 +111,7 @@ class Tree(HTMLParser):
         elif tag == "br":
             self.content.append((self.open[-1], " "))
         if tag not in VOID:
+            self.places.setdefault(tag, []).append(len(self.open))
             self.open.append(index)
 
     def handle_startendtag(self, tag, attrs):
