@@ -12,7 +12,12 @@ Equal sets are one class from the start. Entries are then verified in rounds: ev
 entry against one pivot of it, which is linear in the entries. Members that are already in one
 component need not be compared. When the pairs left are few, they are verified one by one:
 members outside an entry's largest component meet the others, so a large group of near copies is
-never paired with itself.
+never paired with itself. They are made in blocks of bounded size, and what a block links is left
+out of the next.
+
+Pairs are first compared by parity bitmaps, which are as wide as their sets are large: a bit that
+differs stands for a shingle that only one of the sets has. Only the pairs that these cannot
+refute, which are little more than the links, have their sets sent to each other.
 """
 
 from __future__ import annotations
@@ -22,8 +27,9 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import key_filter, may_contain, stored
+from .common import discard, key_filter, may_contain, stored
 from .shingles import _Q, batch_words, byte_slices, mix, shingles, text_buffers
 
 SKETCH_BITS = 20
@@ -32,13 +38,12 @@ SKETCH_BITS = 20
 FREQUENT = 24
 GROUP = 16
 BAND = 1.25
-#: Pivot rounds go on until the pairs left are at most this many times the index rows. A pair is
-#: counted once per entry its sets share, but compared once, so this is far above the comparisons.
-PAIRS_PER_ENTRY = 64
-#: 64-bit words of a set's bitmap, one bit per shingle by hash. A bit that differs proves a shingle
-#: that only one of the sets has, so most pairs are refuted without moving their sets.
+#: Pivot rounds go on while more pairs than this are left per index row and a round settles at
+#: least a quarter of them. A pair is counted once per entry its sets share, but compared once.
+PAIRS_PER_ENTRY = 2
+SETTLED = 0.25
+#: Words of 64 bits of the smallest bitmap. A bitmap has at least as many bits as its set shingles.
 BITMAP = 8
-ROUNDS = 12
 #: Index entries written together by a task.
 BATCH = 50_000
 
@@ -60,12 +65,8 @@ def shingle_sets(docs: DataFrame, size: int = 5) -> DataFrame:
                 pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(flat.view(np.int64))
             )
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            bits = np.zeros((len(sets), 64 * BITMAP), dtype=bool)
-            bits[np.repeat(np.arange(len(sets)), counts), (flat % np.uint64(64 * BITMAP)).astype(np.int64)] = True
-            maps = pa.ListArray.from_arrays(
-                pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BITMAP),
-                pa.array(np.packbits(bits, axis=1).reshape(-1).view(np.int64)),
-            )
+            limits, maps = parity_bitmaps(counts, flat)
+            maps = pa.ListArray.from_arrays(pa.array(limits.astype(np.int32)), pa.array(maps))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts), pa.array(keys, pa.binary()), lists, maps],
                 ["doc_id", "n", "set_key", "shingles", "bitmap"],
@@ -76,6 +77,16 @@ def shingle_sets(docs: DataFrame, size: int = 5) -> DataFrame:
     )
 
 
+def parity_bitmaps(counts: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps of the sets that lie one after the other in ``flat``: whether an odd number of a
+    set's shingles falls on a bit. Widths are powers of two, so a wider bitmap folds by XOR."""
+    words = BITMAP << np.maximum(0, np.ceil(np.log2(np.maximum(counts, 1) / (64 * BITMAP))).astype(np.int64))
+    limits = np.append(0, np.cumsum(words))
+    place = (flat & np.repeat(64 * words - 1, counts).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(np.repeat(64 * limits[:-1], counts) + place, minlength=64 * limits[-1]) & 1
+    return limits, np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def _lists(column):
     flat = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
     offsets = column.offsets.to_numpy()
@@ -179,15 +190,31 @@ def entries(sets: DataFrame, flags: np.ndarray, percent: int) -> DataFrame:
     return sets.select("doc_id", "shingles").mapInArrow(work, f"entry bigint, rid {kind}, n bigint")
 
 
+def apart_at_least(left: np.ndarray, right: np.ndarray) -> int:
+    """Shingles that at least one set has alone, by their bitmaps; the wider one is folded."""
+    width = min(len(left), len(right))
+    left, right = (np.bitwise_xor.reduce(m.reshape(-1, width), axis=0) for m in (left, right))
+    return int(np.bitwise_count(left ^ right).sum())
+
+
 def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that bitmaps do not refute: linked sets differ in few enough shingles."""
     maps = sets.select("doc_id", "n", "bitmap")
     left = maps.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("ma"))
     right = maps.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("mb"))
-    apart = sum(F.bit_count(F.col("ma")[i].bitwiseXOR(F.col("mb")[i])) for i in range(BITMAP))
-    # common >= t * union means union - common <= (1 - t) / (1 + t) * (na + nb).
-    few = (100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))
-    return pairs.join(left, "a").join(right, "b").where(few).select("a", "b")
+    kind = dict(sets.dtypes)["doc_id"]
+
+    def work(batches):
+        for batch in batches:
+            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            apart = np.fromiter(
+                map(apart_at_least, _lists(batch.column("ma")), _lists(batch.column("mb"))), np.int64, len(na)
+            )
+            # common >= t * union means union - common <= (1 - t) / (1 + t) * (na + nb).
+            few = (100 + percent) * apart <= (100 - percent) * (na + nb)
+            yield batch.select(["a", "b"]).take(np.flatnonzero(few))
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ma", "mb").mapInArrow(work, f"a {kind}, b {kind}")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -230,65 +257,97 @@ def components(links: DataFrame) -> DataFrame:
         large = stored(large.distinct(), "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        past = edges, large
         edges = stored(small.union(least).where("u != v").distinct(), "edges")
+        for table in past:
+            discard(table)
     tops = edges.select(F.col("u").alias("rid"), F.col("v").alias("label"))
     return tops.union(tops.select(F.col("label").alias("rid"), "label")).groupBy("rid").agg(F.min("label").alias("label"))
 
 
+def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links among the pairs of (a, b, na, nb): sizes, then bitmaps, then sets decide."""
+    sized = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    once = sized.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    likely = stored(_likely(once, sets, percent), "pairs")
+    found = stored(_verified(likely, sets, percent), "links")
+    discard(likely)
+    return found
+
+
+def _relabelled(open_entries: DataFrame, links: DataFrame) -> DataFrame:
+    """Entries with the components of all links; entries within one component are left out."""
+    labels = stored(components(links), "labels")
+    named = stored(
+        open_entries.drop("label").join(labels, "rid", "left").withColumn("label", F.coalesce("label", "rid")), "entries"
+    )
+    several = named.groupBy("entry").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l != h")
+    kept = stored(named.join(several.select("entry"), "entry"), "entries")
+    for table in (labels, named, open_entries):
+        discard(table)
+    return kept
+
+
+def _groups(open_entries: DataFrame) -> DataFrame:
+    """Of every entry with several components: the largest one, and the pairs between components."""
+    return open_entries.groupBy("entry", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("entry").agg(
+        F.count(F.lit(1)).alias("labels"), F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("inner"),
+        F.max(F.struct("m", "label"))["label"].alias("main"),
+    ).where("labels > 1")
+
+
+def _pairs_left(open_entries: DataFrame) -> int:
+    return int(_groups(open_entries).agg(F.sum((F.col("all") * F.col("all") - F.col("inner")) / 2)).first()[0] or 0)
+
+
+def _pivot_pairs(open_entries: DataFrame, turn: int) -> DataFrame:
+    """Every member of an entry with one pivot of another component, another one each turn."""
+    order = F.struct(F.xxhash64(F.lit(turn), "label"), F.col("label"), F.xxhash64(F.lit(turn), "rid"), F.col("rid").alias("pivot"), F.col("n").alias("np"))
+    if turn == 0:
+        order = F.struct(F.col("rid"), F.col("label"), F.lit(0), F.col("rid").alias("pivot"), F.col("n").alias("np"))
+    pivots = open_entries.groupBy("entry").agg(F.min(order).alias("p")).select(
+        "entry", F.col("p.pivot").alias("b"), F.col("p.label").alias("label_b"), F.col("p.np").alias("nb")
+    )
+    met = open_entries.join(pivots, "entry").where("label != label_b")
+    return met.select(F.col("rid").alias("a"), "b", F.col("n").alias("na"), "nb")
+
+
+def _remaining_pairs(open_entries: DataFrame, block: int, blocks: int) -> DataFrame:
+    """The members beside their entry's main component, a block of them, with all others.
+
+    ``beside`` was fixed before the first block, so a pair has its block whatever is linked since.
+    """
+    other = open_entries.select(
+        "entry", F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("label").alias("label_b"),
+        F.col("beside").alias("beside_b"),
+    )
+    mine = F.pmod(F.xxhash64(F.lit(blocks), "rid", "entry"), F.lit(blocks)) == block
+    met = open_entries.where(F.col("beside") & mine).join(other, "entry").where("label != label_b and (rid < b or not beside_b)")
+    return met.select(F.col("rid").alias("a"), "b", F.col("n").alias("na"), "nb")
+
+
 def _linked(sets: DataFrame, percent: int) -> DataFrame:
     """``rid`` and ``label`` of sets that link with a different set."""
-    index = entries(sets, frequent_cells(sets), percent)
-    shared = index.groupBy("entry").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
-    open_entries = stored(index.join(shared, "entry").select("entry", "rid", "n").withColumn("label", F.col("rid")), "entries")
-    index_rows = open_entries.count()
-    links = None
-    for turn in range(ROUNDS):
-        held = open_entries.groupBy("entry", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("entry").agg(
-            F.count(F.lit(1)).alias("labels"), F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("inner"),
-            F.max(F.struct("m", "label"))["label"].alias("main"),
-        )
-        pairs_left = held.where("labels > 1").agg(F.sum((F.col("all") * F.col("all") - F.col("inner")) / 2)).first()[0] or 0
-        if not pairs_left:
-            break
-        if pairs_left <= PAIRS_PER_ENTRY * index_rows or turn == ROUNDS - 1:
-            other = open_entries.select(
-                "entry", F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("label").alias("label_b")
-            )
-            beside = open_entries.join(held.select("entry", "main"), "entry").where("label != main")
-            pairs = (
-                beside.join(other, "entry").where("label != label_b and (rid < b or label_b = main)")
-                .where(100 * F.least("n", "nb") >= percent * F.greatest("n", "nb"))
-                .select(F.least("rid", "b").alias("a"), F.greatest("rid", "b").alias("b")).distinct()
-            )
-            last = True
-        else:
-            # Another pivot per entry each time; sizes too far apart cannot link.
-            order = F.struct(F.xxhash64(F.lit(turn), "label"), F.col("label"), F.xxhash64(F.lit(turn), "rid"), F.col("rid").alias("pivot"), F.col("n").alias("np"))
-            if turn == 0:
-                order = F.struct(F.col("rid"), F.col("label"), F.lit(0), F.col("rid").alias("pivot"), F.col("n").alias("np"))
-            pivots = open_entries.groupBy("entry").agg(F.min(order).alias("p")).select(
-                "entry", F.col("p.pivot").alias("b"), F.col("p.label").alias("label_b"), F.col("p.np").alias("nb")
-            )
-            pairs = (
-                open_entries.join(pivots, "entry").where("label != label_b")
-                .where(100 * F.least("n", "nb") >= percent * F.greatest("n", "nb"))
-                .select(F.least("rid", "b").alias("a"), F.greatest("rid", "b").alias("b")).distinct()
-            )
-            last = False
-        found = stored(_verified(stored(_likely(pairs, sets, percent), "pairs"), sets, percent), "links")
-        links = found if links is None else links.union(found)
-        if last:
-            break
-        labels = stored(components(links), "labels")
-        open_entries = stored(
-            open_entries.drop("label").join(labels, "rid", "left")
-            .select("entry", "rid", "n", F.coalesce("label", "rid").alias("label")),
-            "entries",
-        )
-        several = open_entries.groupBy("entry").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l != h")
-        open_entries = stored(open_entries.join(several.select("entry"), "entry"), "entries")
-    if links is None:
-        return open_entries.select("rid", "label").limit(0)
+    holders = F.count(F.lit(1)).over(Window.partitionBy("entry"))
+    shared = entries(sets, frequent_cells(sets), percent).withColumn("holders", holders).where("holders > 1")
+    open_entries = stored(shared.select("entry", "rid", "n", F.col("rid").alias("label")), "entries")
+    bound = max(1, int(PAIRS_PER_ENTRY * open_entries.count()))
+    ids = dict(sets.dtypes)["doc_id"]
+    links = sets.sparkSession.createDataFrame([], f"a {ids}, b {ids}")
+    turn, before, pairs = 0, None, _pairs_left(open_entries)
+    while pairs > bound and (before is None or pairs <= (1 - SETTLED) * before):
+        links = links.union(_near(_pivot_pairs(open_entries, turn), sets, percent))
+        open_entries = _relabelled(open_entries, links)
+        turn, before, pairs = turn + 1, pairs, _pairs_left(open_entries)
+    if pairs:
+        main = _groups(open_entries).select("entry", "main")
+        beside = open_entries.join(main, "entry").withColumn("beside", F.col("label") != F.col("main")).drop("main")
+        open_entries = stored(beside, "entries")
+    blocks = -(-pairs // bound)
+    for block in range(blocks):
+        links = links.union(_near(_remaining_pairs(open_entries, block, blocks), sets, percent))
+        if block + 1 < blocks:
+            open_entries = _relabelled(open_entries, links)
     return components(links)
 
 
