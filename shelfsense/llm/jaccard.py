@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, key_filter, may_contain, stored
+from .common import discard, key_filter, may_contain, small_batches, stored
 from .shingles import _Q, batch_words, byte_slices, mix, shingles, text_buffers
 
 SKETCH_BITS = 20
@@ -360,6 +360,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     component of an equal set or else in none (null). Shingles are compared as 64-bit hashes of
     their words. An empty table gives no rows; other columns are ignored.
     """
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, size, percent)
+
+
+def _near_duplicates(docs: DataFrame, size: int, percent: int) -> DataFrame:
     sets = stored(shingle_sets(docs, size), "sets")
     full = sets.where("n > 0")
     classes = stored(full.groupBy("n", "set_key").agg(F.min("doc_id").alias("rid")), "classes")
