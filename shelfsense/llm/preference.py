@@ -21,14 +21,14 @@ def conversations_of(rows: DataFrame) -> DataFrame:
     """``conv_id`` and ``turns`` (role, text in order of turn) of a table of turns.
 
     Rows equal in id, turn, role and text count once; those that share a turn go by role and
-    text. Null roles and texts count as empty, null turns come first, and rows without id are one
-    conversation without id.
+    text. Null roles and texts count as empty, null turns come first. Rows without id belong to no
+    conversation. An empty table gives none; other columns are ignored.
     """
     turn = F.struct(
         F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    return rows.groupBy("conv_id").agg(F.sort_array(F.collect_set(turn)).alias("ordered")).select(
+    return rows.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_set(turn)).alias("ordered")).select(
         "conv_id",
         F.transform("ordered", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"),
     )
@@ -74,6 +74,14 @@ def stale_pairs(conversations: DataFrame) -> DataFrame:
     )
 
 
+def _unmarked(turns: Column) -> Column:
+    """Turns in whose roles and texts nothing reads as a mark: a word joiner parts ``<`` from ``|``."""
+    def broken(said: Column) -> Column:
+        return F.replace(F.coalesce(said, F.lit("")), F.lit("<|"), F.lit("<\u2060|"))
+
+    return F.transform(turns, lambda t: F.struct(broken(t["role"]).alias("role"), broken(t["text"]).alias("text")))
+
+
 def _rendered(turns: Column) -> Column:
     return F.array_join(F.transform(turns, lambda t: F.concat(_header(t), t["text"], F.lit(END))), "")
 
@@ -102,11 +110,13 @@ def format_pairs(pairs: DataFrame) -> DataFrame:
 
     Adds ``n_common`` (turns of the common prefix), ``prompt``, ``chosen_text``, ``rejected_text``,
     ``chosen_mask``, ``rejected_mask`` and ``usable`` (both completions hold something to train
-    on). Null arrays count as empty. Equal conversations have empty completions.
+    on), in place of columns of these names. Null arrays, roles and texts count as empty. Equal
+    conversations have empty completions. What reads as a mark (``<|``) in a role or text is broken
+    by U+2060, so no turn can be forged. Repeated rows give repeated rows, no rows none.
     """
     empty = F.array().cast(TURNS)
     rows = pairs.withColumns(
-        {"chosen": F.coalesce("chosen", empty), "rejected": F.coalesce("rejected", empty)}
+        {name: _unmarked(F.coalesce(name, empty)) for name in ("chosen", "rejected")}
     )
     apart = F.array_position(F.zip_with("chosen", "rejected", lambda a, b: ~a.eqNullSafe(b)), True)
     shorter = F.least(F.size("chosen"), F.size("rejected"))
