@@ -28,8 +28,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Prototypes are learned from all rows with a text and a language. Where nothing is learned
     no language is known and every document goes.
     """
-    found = identify(docs, learn(docs), keep=tuple(docs.columns))
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    # The row travels in a struct, past columns of its own that are named like the results.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    found = identify(rows, learn(docs), keep=("row",))
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)).select("row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,25 +49,38 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark windows."""
+    """Documents without benchmark windows.
+
+    Null and empty texts have none and stay; repeated rows are judged alike. Without benchmark
+    items, or without documents, nothing changes.
+    """
     return decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled so that their tokens meet the target shares in expectation."""
+    """Documents sampled so that their tokens meet the target shares in expectation.
+
+    Rows of a source or language without a target go, those where it is null among them. Rows
+    equal in id and text go or stay together. An empty table stays empty.
+    """
     shares = Mix(SOURCE_SHARES, LANG_SHARES, TOPIC_SHARES)
-    rows = docs.withColumn("mix_text_hash", F.xxhash64("text"))
+    hashed = F.xxhash64("text").alias("mix_text_hash")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "lang", "source", hashed)
     chosen = (
         mixture(rows, shares, keep=KEEP, keyed_by=("doc_id", "mix_text_hash"))
         .where("sampled")
         .select(F.col("doc_id").alias("mix_id"), F.col("mix_text_hash").alias("mix_hash"))
     )
     same = F.col("doc_id").eqNullSafe(F.col("mix_id")) & (F.col("mix_text_hash") == F.col("mix_hash"))
-    return rows.join(chosen, same, "left_semi").select(*docs.columns)
+    return rows.join(chosen, same, "left_semi").select("row.*")
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of every document, counts at most one apart."""
+    """Shard and slot of every document, counts at most one apart.
+
+    A null text has size 16; rows without id are placed by their text; equal rows take
+    neighbouring slots. An empty table gives no rows; only the places come out.
+    """
     return ring_shards(docs, SHARDS, load=1.0)
 
 
