@@ -90,17 +90,22 @@ def may_contain(df: DataFrame, column: str, bits: DataFrame, width: int = FILTER
     )
 
 
-def surely_lacks(df: DataFrame, column: str, bits: DataFrame, width: int = FILTER_BITS) -> DataFrame:
-    """The other rows: those whose key is not in the filter."""
+def marked(df: DataFrame, column: str, bits: DataFrame, name: str, width: int = FILTER_BITS) -> DataFrame:
+    """``df`` with ``name``: whether the key may be in the filter."""
     bucket, place = _bit(F.col(column), width)
     return (
         df.withColumns({"filter_bucket": bucket, "filter_place": place})
         .join(F.broadcast(bits), "filter_bucket", "left")
-        .where(F.col("filter_bits").isNull() | ~_set_bit())
+        .withColumn(name, F.coalesce(_set_bit(), F.lit(False)))
         .drop("filter_bucket", "filter_place", "filter_bits")
     )
 
 
+def surely_lacks(df: DataFrame, column: str, bits: DataFrame, width: int = FILTER_BITS) -> DataFrame:
+    """The other rows: those whose key is not in the filter."""
+    return marked(df, column, bits, "filter_passed", width).where("not filter_passed").drop("filter_passed")
+
+
 def spread_join(rows: DataFrame, table: DataFrame, on: str, held: str, total: int) -> DataFrame:
     """Inner join of ``rows`` with ``table``, one row per key, whose column ``held`` says how many
     of the ``total`` rows have the key. Hot keys are fewer than HOT_PART, so theirs are broadcast;
