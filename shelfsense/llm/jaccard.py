@@ -1,16 +1,16 @@
 """Jaccard join of word shingles with token-combination prefixes.
 
-Shingles fall into two classes by a frequency sketch. They are ordered rare first, by hash within
-a class. A set of n shingles can miss at most ``n - ceil(t * n)`` of them in a set it links with,
+Shingles fall into two classes by a frequency sketch. They are ordered rare first, the rare ones by
+the sketch's counts, then by hash, so that what many sets share comes late. A set of n shingles can miss at most ``n - ceil(t * n)`` of them in a set it links with,
 so its prefix is the shortest one that cannot be destroyed by so many misses: a rare shingle is
 an index entry by itself and costs one miss; frequent shingles are dealt into groups of about 16
 per set, entries are pairs within a group, and a group of m costs m - 1 misses. Of two linked sets
 the one whose prefix ends first keeps an entry, and the other one has it too (Xiao et al. 2008,
 Wang et al. 2016), so no link is lost whatever the sketch says; it only decides what is cheap.
 
-Equal sets are one class from the start. Entries are then verified in rounds: every member of an
-entry against one pivot of it, which is linear in the entries. Members that are already in one
-component need not be compared. When the pairs left are few, they are verified one by one:
+Equal sets are one class from the start. Entries are then verified in rounds: of the pivots of its
+entries, one each, every member is compared with one, so a round makes no more pairs than there are
+sets. Members that are already in one component need not be compared. When the pairs left are few, they are verified one by one:
 members outside an entry's largest component meet the others, so a large group of near copies is
 never paired with itself. They are made in blocks of bounded size, and what a block links is left
 out of the next.
@@ -94,8 +94,11 @@ def _lists(column):
     return [flat[a - base : b - base] for a, b in zip(offsets[:-1], offsets[1:])]
 
 
-def frequent_cells(sets: DataFrame) -> np.ndarray:
-    """One flag per sketch cell; the sketch counts the shingles of all sets."""
+def cell_levels(sets: DataFrame) -> tuple[np.ndarray, int]:
+    """The level of every sketch cell, and from which level its shingles are frequent.
+
+    The sketch counts the shingles of all sets.
+    """
 
     def work(batches):
         import pyarrow as pa
@@ -115,19 +118,27 @@ def frequent_cells(sets: DataFrame) -> np.ndarray:
         "cells",
     )
     mean = (counted.agg(F.sum("hits")).first()[0] or 0) / (1 << SKETCH_BITS)
-    flags = np.zeros(1 << SKETCH_BITS, dtype=bool)
+    levels = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
     # At most one row per cell, whatever the corpus.
-    rows = counted.where(F.col("hits") >= mean + max(FREQUENT, 3 * mean**0.5)).select("cell").toPandas()
-    flags[rows["cell"].to_numpy(dtype=np.int64)] = True
-    return flags
+    rows = counted.toPandas()
+    levels[rows["cell"].to_numpy(dtype=np.int64)] = level(rows["hits"].to_numpy(dtype=float))
+    return levels, int(level(mean + max(FREQUENT, 3 * mean**0.5)))
+
+
+def level(hits):
+    """Hits of a cell on a scale of sixteen steps per doubling."""
+    return np.minimum(255, np.round(16 * np.log2(1 + np.asarray(hits, dtype=float)))).astype(np.uint8)
 
 
-def set_entries(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """Index entries of one set: sorted distinct hashes, flags of the frequent ones."""
+def set_entries(tokens: np.ndarray, frequent: np.ndarray, percent: int, levels: np.ndarray | None = None) -> np.ndarray:
+    """Index entries of one set: sorted distinct hashes, flags of the frequent ones, and levels by
+    which the rare ones are ordered before their hashes."""
     n = len(tokens)
     need = n + (-n * percent) // 100 + 1
     rare = tokens[~frequent]
     if len(rare) >= need:
+        if levels is not None:
+            rare = rare[np.argsort(levels[~frequent], kind="stable")]
         return mix(rare[:need])
     often, out = tokens[frequent], [mix(rare)]
     left = need - len(rare)
@@ -152,10 +163,9 @@ def set_entries(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.nd
     return np.unique(np.concatenate(out))
 
 
-def entries(sets: DataFrame, flags: np.ndarray, percent: int) -> DataFrame:
+def entries(sets: DataFrame, levels: np.ndarray, often: int, percent: int) -> DataFrame:
     """``entry``, ``rid`` and ``n``: the index entries of every set."""
     kind = dict(sets.dtypes)["doc_id"]
-    bits = np.packbits(flags)
 
     def packed(ids, made):
         import pyarrow as pa
@@ -172,13 +182,13 @@ def entries(sets: DataFrame, flags: np.ndarray, percent: int) -> DataFrame:
         )
 
     def work(batches):
-        flags = np.unpackbits(bits).astype(bool)
         for batch in batches:
             ids, made, rows = batch.column(0), [], 0
             for at, tokens in enumerate(_lists(batch.column(1))):
                 if not len(tokens):
                     continue
-                found = set_entries(tokens, flags[tokens >> np.uint64(64 - SKETCH_BITS)], percent)
+                own = levels[tokens >> np.uint64(64 - SKETCH_BITS)]
+                found = set_entries(tokens, own >= often, percent, own)
                 made.append((at, len(tokens), found))
                 rows += len(found)
                 if rows >= BATCH:
@@ -193,8 +203,8 @@ def entries(sets: DataFrame, flags: np.ndarray, percent: int) -> DataFrame:
 def apart_at_least(left: np.ndarray, right: np.ndarray) -> int:
     """Shingles that at least one set has alone, by their bitmaps; the wider one is folded."""
     width = min(len(left), len(right))
-    left, right = (np.bitwise_xor.reduce(m.reshape(-1, width), axis=0) for m in (left, right))
-    return int(np.bitwise_count(left ^ right).sum())
+    left, right = (np.bitwise_xor.reduce(m.view(np.uint64).reshape(-1, width), axis=0) for m in (left, right))
+    return int(np.bitwise_count(left ^ right).sum())  # of signed numbers it would count absolute values
 
 
 def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -300,16 +310,23 @@ def _pairs_left(open_entries: DataFrame) -> int:
     return int(_groups(open_entries).agg(F.sum((F.col("all") * F.col("all") - F.col("inner")) / 2)).first()[0] or 0)
 
 
-def _pivot_pairs(open_entries: DataFrame, turn: int) -> DataFrame:
-    """Every member of an entry with one pivot of another component, another one each turn."""
-    order = F.struct(F.xxhash64(F.lit(turn), "label"), F.col("label"), F.xxhash64(F.lit(turn), "rid"), F.col("rid").alias("pivot"), F.col("n").alias("np"))
-    if turn == 0:
-        order = F.struct(F.col("rid"), F.col("label"), F.lit(0), F.col("rid").alias("pivot"), F.col("n").alias("np"))
+def _pivot_pairs(open_entries: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Every set with one pivot of its entries, of another component and a fitting size.
+
+    Pivots go by id in the first turn, so that the sets of a group choose the same few, and by
+    another hash in every later one.
+    """
+    place = F.col("rid") if turn == 0 else F.xxhash64(F.lit(turn), "label")
+    order = F.struct(place, F.col("label"), F.xxhash64(F.lit(turn), "rid"), F.col("rid").alias("pivot"), F.col("n").alias("np"))
     pivots = open_entries.groupBy("entry").agg(F.min(order).alias("p")).select(
         "entry", F.col("p.pivot").alias("b"), F.col("p.label").alias("label_b"), F.col("p.np").alias("nb")
     )
-    met = open_entries.join(pivots, "entry").where("label != label_b")
-    return met.select(F.col("rid").alias("a"), "b", F.col("n").alias("na"), "nb")
+    met = open_entries.join(pivots, "entry").where("label != label_b").where(
+        100 * F.least("n", "nb") >= percent * F.greatest("n", "nb")
+    )
+    first = F.col("b") if turn == 0 else F.xxhash64(F.lit(turn), "label_b", "b")
+    chosen = met.groupBy("rid", "n").agg(F.min_by("b", first).alias("b"), F.min_by("nb", first).alias("nb"))
+    return chosen.select(F.col("rid").alias("a"), "b", F.col("n").alias("na"), "nb")
 
 
 def _remaining_pairs(open_entries: DataFrame, block: int, blocks: int) -> DataFrame:
@@ -329,14 +346,14 @@ def _remaining_pairs(open_entries: DataFrame, block: int, blocks: int) -> DataFr
 def _linked(sets: DataFrame, percent: int) -> DataFrame:
     """``rid`` and ``label`` of sets that link with a different set."""
     holders = F.count(F.lit(1)).over(Window.partitionBy("entry"))
-    shared = entries(sets, frequent_cells(sets), percent).withColumn("holders", holders).where("holders > 1")
+    shared = entries(sets, *cell_levels(sets), percent).withColumn("holders", holders).where("holders > 1")
     open_entries = stored(shared.select("entry", "rid", "n", F.col("rid").alias("label")), "entries")
     bound = max(1, int(PAIRS_PER_ENTRY * open_entries.count()))
     ids = dict(sets.dtypes)["doc_id"]
     links = sets.sparkSession.createDataFrame([], f"a {ids}, b {ids}")
     turn, before, pairs = 0, None, _pairs_left(open_entries)
     while pairs > bound and (before is None or pairs <= (1 - SETTLED) * before):
-        links = links.union(_near(_pivot_pairs(open_entries, turn), sets, percent))
+        links = links.union(_near(_pivot_pairs(open_entries, turn, percent), sets, percent))
         open_entries = _relabelled(open_entries, links)
         turn, before, pairs = turn + 1, pairs, _pairs_left(open_entries)
     if pairs:
