@@ -46,7 +46,6 @@ REVIEW_PHRASES = (
 )
 MIN_REVIEW_PHRASES = 2
 MIN_REVIEW_ELEMENTS = 4
-HARVEST_PAGE_CAP = 3
 
 # Sentiment fusion.
 LABEL_THRESHOLD = 0.1

@@ -221,7 +221,12 @@ def container(html: Column, element_id: str) -> Column:
     )
 
 
-def review_view_kind(html: Column) -> Column:
+def review_view_kind(page: Column) -> Column:
+    """How the page shows its reviews; comments and scripts do not count."""
+    return bind(visible(page), _view_kind)
+
+
+def _view_kind(html: Column) -> Column:
     button = opener(container(html, "BVRRContainer-mobile"), ".nl-accordion__button")
     return (
         F.when(
@@ -353,7 +358,12 @@ def paginate_union(
     return pages.filter(F.col(page_no) <= max_pages)
 
 
-def has_next_page(html: Column) -> Column:
+def has_next_page(page: Column) -> Column:
+    """Whether a link or button leads on; comments and scripts do not count."""
+    return bind(visible(page), _leads_on)
+
+
+def _leads_on(html: Column) -> Column:
     direct = attribute(non_empty(opener(html, "a.next[role='button']")), "href")
 
     def leads_on(element: Column) -> Column:

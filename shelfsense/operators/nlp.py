@@ -9,6 +9,7 @@ from ..functions import tokens
 from ..functions.html import computed
 from ..functions.text import is_blank
 from .filters import missing_field
+from .joins import reviews_with_products
 
 NLP_COLUMNS = (
     "sentences", "words", "nlp_processed_at", "nlp_concatenated", "nlp_text_used",
@@ -80,21 +81,13 @@ def nlp_result(enriched: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def top_keywords(
-    texts: DataFrame,
-    text: str,
-    by: str,
-    n: int = 10,
-    stop_words=tokens.STOP_WORDS,
-    min_length: int = 3,
+def word_uses(
+    texts: DataFrame, text: str, by: str, stop_words=tokens.STOP_WORDS, min_length: int = 3
 ) -> DataFrame:
-    """The ``n`` most frequent words per ``by``, stop words and short tokens left out.
-
-    Counting combines on the map side; the rank filter keeps ``n`` rows per group in
-    every task before the groups are brought together.
-    """
+    """``by``, ``word`` and ``uses``: how often each word occurs, stop words and short tokens left
+    out. Counting combines on the map side."""
     word = F.lower(F.col("_word"))
-    counted = (
+    return (
         texts.filter(~is_blank(F.col(text)))
         .select(by, F.explode(tokens.words(F.col(text))).alias("_word"))
         .select(by, word.alias("word"))
@@ -102,5 +95,34 @@ def top_keywords(
         .groupBy(by, "word")
         .agg(F.count(F.lit(1)).alias("uses"))
     )
+
+
+def most_used(uses: DataFrame, by: str, n: int) -> DataFrame:
+    """The ``n`` most used words per ``by``; the rank filter keeps ``n`` rows per group in every
+    task before the groups are brought together."""
     rank = Window.partitionBy(by).orderBy(F.desc("uses"), "word")
-    return counted.withColumn("place", F.row_number().over(rank)).filter(F.col("place") <= n)
+    return uses.withColumn("place", F.row_number().over(rank)).filter(F.col("place") <= n)
+
+
+def top_keywords(
+    texts: DataFrame,
+    text: str,
+    by: str,
+    n: int = 10,
+    stop_words=tokens.STOP_WORDS,
+    min_length: int = 3,
+) -> DataFrame:
+    """The ``n`` most frequent words per ``by``."""
+    return most_used(word_uses(texts, text, by, stop_words, min_length), by, n)
+
+
+def top_keywords_by_product(
+    reviews: DataFrame, products: DataFrame, by: str, n: int = 10, text: str = "body", order: str = "k"
+) -> DataFrame:
+    """The ``n`` most frequent words of reviews per ``by``, a column of their products.
+
+    Words are counted per product first; counts are joined with products, texts never.
+    """
+    counts = word_uses(reviews.select("product_url", text), text, "product_url")
+    named = reviews_with_products(counts, products, by, order=order)
+    return most_used(named.groupBy(by, "word").agg(F.sum("uses").alias("uses")), by, n)

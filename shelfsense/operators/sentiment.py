@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fixed
 from ..functions.html import bind, computed
 from ..functions.sentiment import combined_score, confidence, sentiment_label, sentiment_struct
-from ..functions.text import clamp, is_blank, round_n, single_blanks
+from ..functions.text import clamp, is_blank, preview, round_n, single_blanks
 from ..session import measured
-from .filters import limited_backlog
+from .filters import limited_backlog, lowest_rows
 from .joins import first_per_key, lookup_join
 from .merge import keyed_update
 
@@ -428,7 +428,21 @@ def sentiment_backlog_rows(
     named = reviews.filter(F.col("review_id").isNotNull() & (F.col("review_id") != ""))
     if not force and "sentiment_analysis" in reviews.columns:
         return limited_backlog(named, "sentiment_analysis", limit)
-    return named if limit is None else named.orderBy("review_id").limit(limit)
+    return named if limit is None else lowest_rows(named, limit, "review_id")
+
+
+def with_sentiment(reviews: DataFrame, lexicon: Column, text: str = "body") -> DataFrame:
+    """``reviews`` with the stored struct; a narrow pass."""
+    struct = sentiment_struct(*[F.col(f"_scores.{c}") for c in RAW])
+    scored = scores_in_row(reviews, lexicon, F.col(text))
+    return scored.withColumn("sentiment_analysis", struct).drop("_scores")
+
+
+def sentiment_sample(reviews: DataFrame, words: DataFrame, limit: int = 5, shown: int = 100) -> DataFrame:
+    """The first ``limit`` rows without sentiment by review_id and ``seq``, previewed and scored."""
+    todo = limited_backlog(reviews, "sentiment_analysis", limit, ["review_id", "seq"])
+    sample = todo.select("seq", "review_id", "body", preview(F.col("body"), shown).alias("preview"))
+    return sentiment_table(sample, words, "seq", keep=("review_id", "preview"))
 
 
 RAW = ("blank", "compound", "positive", "negative", "neutral", "polarity")

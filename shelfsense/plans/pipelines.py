@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import extract, joins, merge, nlp, products, sentiment, stats
+from ..session import measured
 from ..sources import writers
 
 
@@ -31,6 +32,29 @@ class Harvest(NamedTuple):
     results: DataFrame
 
 
+def _product_states(pages: DataFrame, order: str | None) -> DataFrame:
+    """What the stored first pages of a product show; one row per product that has one.
+
+    Where a first page was stored more than once, the numbers are those of the last one fetched
+    that shows any (of the one with most reviews where the order is not known).
+    """
+    numbers = ("opened_by", "total_reviews", "average_rating", "has_reviews")
+    first = pages.filter(F.col("page_no") == 1)
+    keys = ["product_url", order] if order else ["product_url"]
+    widgets = extract.rating_summary(extract.rating_widget(first, *keys, "html"))
+    seen = extract.reviews_present(widgets, *keys, *numbers)
+    opened = F.col("opened_by").isNotNull()
+    place = F.col(order) if order else F.coalesce("total_reviews", F.lit(0)) + F.coalesce("average_rating", F.lit(0.0)) / 8
+    rated_at = F.when(F.col("has_reviews"), place)
+    return seen.groupBy("product_url").agg(
+        F.bool_or(opened).alias("opened"),
+        F.bool_or(opened & F.col("reviews_present")).alias("readable"),
+        F.bool_or("has_reviews").alias("has_reviews"),
+        F.max_by("total_reviews", rated_at).alias("total_reviews"),
+        F.max_by("average_rating", rated_at).alias("average_rating"),
+    )
+
+
 def harvest_reviews(
     product_table: DataFrame,
     pages: DataFrame,
@@ -38,48 +62,56 @@ def harvest_reviews(
     stored_ratings: DataFrame,
     run_ts: Column,
     max_pages: int | None = None,
+    order: str | None = "seq",
 ) -> Harvest:
-    """New reviews, the updated rating table and one result row per harvested product.
-
-    ``pages`` holds product_url, page_no and html. Products with stored reviews are
-    skipped; reviews are taken only where the rating widget opens a review section. Every page is
-    read, or with ``max_pages`` the first ones of every product.
+    """New reviews, the updated rating table and one result row per submitted product.
+
+    ``pages`` holds product_url, page_no, html and perhaps ``order``, which grows as pages are fetched.
+    Products with stored reviews are skipped; reviews are taken only where the rating widget opens
+    a review section. Every page is read, or with ``max_pages`` the first ones of every product.
+    A product without any page has not been fetched yet: its ``success`` is NULL. One whose first
+    page is missing has failed; both have an ``error``. What is known of the products, a row each,
+    is stored first, so that joins with pages and reviews know its size.
     """
-    urls = product_table.select("product_url").distinct()
-    todo = joins.unprocessed_products(urls, stored_reviews)
-    # Pages are read into records first; joins then move records, never pages.
-    numbers = ("opened_by", "total_reviews", "average_rating", "has_reviews")
-    first = pages.filter(F.col("page_no") == 1)
-    widgets = extract.rating_summary(extract.rating_widget(first, "product_url", "html"))
-    seen = extract.reviews_present(widgets, "product_url", *numbers)
-    opened = F.col("opened_by").isNotNull()
-    # One row per product, also where its first page was stored more than once.
-    states = (
-        seen.groupBy("product_url")
-        .agg(
-            F.bool_or(opened).alias("opened"),
-            F.bool_or(opened & F.col("reviews_present")).alias("readable"),
-            F.max(F.struct("has_reviews", "total_reviews", "average_rating")).alias("best"),
-        )
-        .select("product_url", "opened", "readable", "best.*")
+    order = order if order in pages.columns else None
+    titles = joins.first_per_key(product_table.select("product_url", "title", "k"), "product_url", "k")
+    todo = measured(
+        joins.unprocessed_products(titles, stored_reviews).select("product_url", F.col("title").alias("product_title")),
+        "todo",
     )
-    state = joins.lookup_join(states, todo, "product_url", "left_semi")
+    wanted = todo.select("product_url")
+    if joins.fits_broadcast(wanted):  # else pages are read first, so that joins move records, not pages
+        pages = pages.join(wanted, "product_url", "left_semi")
+    state = measured(joins.lookup_join(_product_states(pages, order), wanted, "product_url", "left_semi"), "states")
     readable = state.filter("readable").select("product_url")
     found_reviews = extract.extract_reviews(extract.paginate_union(pages, max_pages), "page_no")
     reviews = joins.lookup_join(found_reviews, readable, "product_url", "left_semi")
-    new_ratings = state.filter(F.col("has_reviews")).select(
-        "product_url", "average_rating", "total_reviews", run_ts.alias("extracted_at")
+    rated = joins.lookup_join(state.filter("has_reviews"), todo, "product_url")
+    no_stars = F.create_map().cast("map<int,bigint>")
+    new_ratings = joins.lookup_join(rated, stats.rating_distribution(reviews), "product_url").select(
+        "product_url", "product_title", "average_rating", "total_reviews",
+        F.coalesce("rating_distribution", no_stars).alias("rating_distribution"), run_ts.alias("extracted_at"),
     )
-    ratings = merge.upsert_latest(
-        stored_ratings.select(*new_ratings.columns), new_ratings, "product_url", "extracted_at"
+    ratings = merge.upsert_latest(stored_ratings, new_ratings, "product_url", "extracted_at")
+    counts = reviews.groupBy("product_url").agg(F.count(F.lit(1)).alias("reviews"))
+    fetched = pages.groupBy("product_url").agg(F.count(F.lit(1)).alias("pages"))
+    results = todo
+    for part in (state, fetched, counts):
+        results = joins.lookup_join(results, part, "product_url")
+    attempted = F.col("readable").isNotNull()
+    error = F.when(F.col("pages").isNull(), "no page stored").when(~attempted, "first page not stored")
+    outcome = (
+        F.when(F.col("readable"), "read").when(F.col("opened"), "reviews not loaded").when(attempted, "reviews not opened")
     )
-    found = reviews.groupBy("product_url").agg(F.count(F.lit(1)).alias("reviews"))
-    results = joins.lookup_join(state, found, "product_url").select(
+    results = results.select(
         "product_url",
-        "opened",
-        "has_reviews",
-        F.coalesce("reviews", F.lit(0)).alias("reviews"),
-        F.lit(True).alias("success"),
+        "product_title",
+        F.when(F.col("pages").isNotNull(), attempted).alias("success"),
+        error.alias("error"),
+        outcome.alias("outcome"),
+        F.coalesce("has_reviews", F.lit(False)).alias("has_reviews"),
+        F.coalesce("reviews", F.lit(0).cast("bigint")).alias("reviews"),
+        F.coalesce("pages", F.lit(0).cast("bigint")).alias("pages"),
     )
     return Harvest(reviews, ratings, results)
 

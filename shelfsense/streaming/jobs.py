@@ -9,6 +9,7 @@ batch that is repeated after a failure replaces its own output.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from ..operators.extract import extract_reviews
 from ..operators.joins import lookup_join, unprocessed_products
 from ..operators.merge import new_rows_only
 from ..operators.nlp import nlp_incremental
-from ..operators.sentiment import sentiment_table
+from ..operators.sentiment import carried_words, sentiment_table, with_sentiment
 from ..sources.readers import is_file, path_exists
 
 Batch = Callable[[DataFrame, int], DataFrame]  # the new rows and the batch number
@@ -31,7 +32,6 @@ HARVESTED = StructType(
      *schemas.REVIEW.fields]
 )
 
-
 def parquet_stream(
     spark: SparkSession, path: str, schema: StructType, **options
 ) -> DataFrame:
@@ -43,18 +43,29 @@ def parquet_stream(
     return reader.parquet(path)
 
 
-def run_available(stream: DataFrame, transform: Batch, out: str, checkpoint: str) -> StreamingQuery:
-    """Transform everything that is new and append it to ``out``; waits until done."""
+def run_available(
+    stream: DataFrame,
+    transform: Batch,
+    out: str,
+    checkpoint: str,
+    after: Callable[[SparkSession, int], None] | None = None,
+    name: str | None = None,
+) -> StreamingQuery:
+    """Transform everything that is new and append it to ``out``; waits until done.
+
+    ``after`` runs when a batch has been written and before it counts as done, so it is repeated
+    with the batch.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         transform(batch, batch_id).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        if after:
+            after(batch.sparkSession, batch_id)
 
-    query = (
-        stream.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    if name:
+        writer = writer.queryName(name)
+    query = writer.trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
@@ -77,14 +88,16 @@ def written_before(
 def enrich_reviews(words: DataFrame, concatenate: bool = False, key: str = "seq") -> Batch:
     """Sentences, words and sentiment for a batch of new reviews.
 
-    A batch comes in as few partitions as it has files. Hashing it by ``key`` first puts
-    all cores to work, and is the only shuffle: scoring and the join of the scores find
-    the rows already in place.
+    Where the lexicon goes along with the plan a batch is enriched in one narrow pass. With a
+    larger one the rows are hashed by ``key``, and scoring and the join of the scores find them in
+    place.
     """
+    lexicon = carried_words(words)
 
     def transform(batch: DataFrame, _: int) -> DataFrame:
-        cores = batch.sparkSession.sparkContext.defaultParallelism
-        spread = batch.repartition(cores, key)
+        if lexicon is not None:
+            return with_sentiment(nlp_incremental(batch, concatenate), lexicon)
+        spread = batch.repartition(key)
         scores = sentiment_table(spread, words, key)
         return nlp_incremental(spread, concatenate).join(scores, key, "left")
 
@@ -92,7 +105,10 @@ def enrich_reviews(words: DataFrame, concatenate: bool = False, key: str = "seq"
 
 
 def resume_harvest(products: DataFrame, out: str) -> Batch:
-    """Reviews out of a batch of pages, for products without stored reviews."""
+    """Reviews out of a batch of pages, for products without stored reviews.
+
+    Reads what was written before; ``known_keys`` does without.
+    """
     urls = products.select("product_url").distinct()
 
     def transform(pages: DataFrame, batch_id: int) -> DataFrame:
@@ -106,7 +122,8 @@ def resume_harvest(products: DataFrame, out: str) -> Batch:
 def dedup_batches(out: str, schema: StructType, key: str = "review_id", order: str = "seq") -> Batch:
     """Rows whose key is neither repeated in the batch nor written before.
 
-    Repeats collapse on the map side, so a key with very many copies stays cheap.
+    Repeats collapse on the map side, so a key with very many copies stays cheap. Reads what was
+    written before; ``known_keys`` does without.
     """
 
     def transform(batch: DataFrame, batch_id: int) -> DataFrame:
@@ -116,6 +133,43 @@ def dedup_batches(out: str, schema: StructType, key: str = "review_id", order: s
     return transform
 
 
+def harvest_pages(products: DataFrame) -> Batch:
+    """Reviews out of a batch of pages of the given products."""
+    urls = products.select("product_url").distinct()
+
+    def transform(pages: DataFrame, _: int) -> DataFrame:
+        return lookup_join(extract_reviews(pages, "page_no"), urls, "product_url", "left_semi")
+
+    return transform
+
+
+@contextmanager
+def state_on_disk(spark: SparkSession):
+    """Queries started inside keep their state in RocksDB, with changes in the checkpoint."""
+    settings = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def run_append(stream: DataFrame, out: str, checkpoint: str, name: str | None = None) -> StreamingQuery:
+    """Append the rows of a stateful stream to ``out``; waits until all that is there is done."""
+    writer = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint)
+    if name:
+        writer = writer.queryName(name)
+    query = writer.trigger(availableNow=True).start(out)
+    query.awaitTermination()
+    return query
+
+
 def stream_dedup(
     stream: DataFrame,
     event_time: str,
@@ -126,6 +180,10 @@ def stream_dedup(
 ) -> DataFrame:
     """Drop rows repeating a key within ``delay`` of its first arrival.
 
+    A key is forgotten when the watermark, the latest time seen less ``delay``, has passed its own
+    time by ``delay``: the state holds the keys of that span and no more. Rows older than
+    the watermark are late and are dropped.
+
     With ``spread_by`` (a column that differs between copies) copies of one key first
     meet in up to ``salts`` tasks, and only one row from each goes on to the final step.
     """
@@ -156,7 +214,8 @@ def progress_metrics(run: str = "run") -> Batch:
 
 
 def observed_progress(query: StreamingQuery, name: str) -> list[dict]:
-    """What ``df.observe(name, ...)`` reported per micro-batch of a query."""
+    """What ``df.observe(name, ...)`` reported for the batches Spark still remembers; a
+    ``progress.ProgressLog`` keeps those of all batches."""
     reports = []
     for progress in query.recentProgress:
         metrics = progress.observedMetrics.get(name)

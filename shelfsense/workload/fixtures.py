@@ -44,9 +44,12 @@ SELECT p_partkey AS k,
 FROM {part} WHERE p_partkey % 17 <> 16
 """
 
-# Only products 0 to 149 can match, so that side is broadcast: 150 rows at any scale.
+# A quarter of the documents are dealt over all products, the others over the first twentieth of
+# them, so both the number of products with reviews and the reviews of a product grow. page_no
+# numbers a product's pages; of every ninth product the first page was not stored, and products that
+# share an address have several first pages.
 FIXTURES["reviews_raw"] = """
-SELECT /*+ BROADCAST(p) */ concat('bv-review-', CAST(d.doc_id - (CASE WHEN d.doc_id % 40 = 39 THEN 1 ELSE 0 END) AS STRING)) AS review_id,
+SELECT concat('bv-review-', CAST(d.doc_id - (CASE WHEN d.doc_id % 40 = 39 THEN 1 ELSE 0 END) AS STRING)) AS review_id,
   CASE WHEN d.doc_id % 40 = 13 THEN 'https://shop.example.com/en/pdp/gone-9999999p.html' ELSE p.product_url END AS product_url,
   CASE WHEN d.doc_id % 11 = 10 THEN NULL ELSE CAST(1 + d.doc_id % 5 AS INT) END AS rating,
   CASE WHEN d.doc_id % 9 = 8 THEN '' ELSE substr(d.text, 1, 30) END AS title,
@@ -60,9 +63,11 @@ SELECT /*+ BROADCAST(p) */ concat('bv-review-', CAST(d.doc_id - (CASE WHEN d.doc
   concat('user', CAST(d.doc_id % 37 AS STRING)) AS reviewer,
   coalesce(l.quality, 0) = 1 AS verified_purchaser,
   CAST(d.n_chars % 7 AS INT) AS helpful_count,
-  d.doc_id AS seq
-FROM {documents} d
-JOIN (SELECT k, product_url FROM {products_raw} WHERE k < 150) p ON p.k = d.doc_id % 150
+  d.doc_id AS seq,
+  CAST(floor(d.doc_id / d.dealt) AS INT) + (CASE WHEN p.k % 9 = 5 THEN 2 ELSE 1 END) AS page_no
+FROM (SELECT *, CASE WHEN doc_id % 4 = 0 THEN n ELSE greatest(CAST(floor(n / 20) AS BIGINT), 1) END AS dealt
+      FROM (SELECT *, (SELECT count(*) FROM {part}) AS n FROM {documents}) counted) d
+JOIN (SELECT k, product_url FROM {products_raw}) p ON p.k = d.doc_id % d.dealt
 LEFT JOIN {labels} l ON d.doc_id = l.doc_id
 """
 
@@ -72,7 +77,7 @@ FROM {reviews_raw} WHERE seq % 13 <> 0 AND rating IS NOT NULL GROUP BY product_u
 """
 
 FIXTURES["review_sections"] = """
-SELECT seq, review_id, product_url, CAST(floor(seq / 150) AS INT) + 1 AS page_no,
+SELECT seq, review_id, product_url, page_no,
   concat('<section id="', review_id, '">',
     CASE WHEN rating IS NULL THEN '' ELSE concat('<div role="img" aria-label="', CAST(rating AS STRING), ' out of 5 stars"></div>') END,
     '<h3> ', replace(replace(replace(replace(title, chr(10), ' '), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), ' </h3><button aria-label="See ', reviewer, ' profile">', reviewer, '</button>',

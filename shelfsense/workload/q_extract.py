@@ -15,6 +15,7 @@ from .. import fixed_values as fixed
 from .registry import Tables, query
 
 URL = "product_url"
+PAGES_SHOWN = 3  # the limit that ``paginate_union`` is about
 # The references that the given pages hold; the last comes last, so that "&amp;lt;" stays "&lt;".
 ENTITIES = (
     ("&nbsp;", "\xa0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'),
@@ -278,10 +279,10 @@ def review_sections(t: Tables):
 
 
 EXTRACTED = f"""extracted AS (
-  SELECT seq, CAST(floor(seq / 150) AS INTEGER) + 1 AS page_no, CAST(1 AS INTEGER) AS position, review_id, product_url,
+  SELECT seq, page_no, CAST(1 AS INTEGER) AS position, review_id, product_url,
     rating, {q.strip("replace(title, chr(10), ' ')")} AS title, {q.strip('body')} AS body, date, reviewer,
     verified_purchaser, helpful_count FROM reviews_raw WHERE seq % 7 NOT IN (2, 3)
-  UNION ALL SELECT seq, CAST(floor(seq / 150) AS INTEGER) + 1, 2, review_id || '-b', product_url, NULL, 'Reply', NULL,
+  UNION ALL SELECT seq, page_no, 2, review_id || '-b', product_url, NULL, 'Reply', NULL,
     NULL, NULL, false, 0 FROM reviews_raw WHERE seq % 7 NOT IN (2, 3))"""
 
 
@@ -314,10 +315,11 @@ def review_position(t: Tables):
 
 @query(
     "paginate_union",
-    f"WITH {EXTRACTED} SELECT product_url, page_no, position, review_id, body FROM extracted WHERE page_no <= 3",
+    f"""WITH {EXTRACTED} SELECT product_url, page_no, position, review_id, body FROM extracted
+    WHERE page_no <= {PAGES_SHOWN}""",
 )
 def paginate_union(t: Tables):
-    pages = extract.paginate_union(t.review_pages, fixed.HARVEST_PAGE_CAP)
+    pages = extract.paginate_union(t.review_pages, PAGES_SHOWN)
     return extract.extract_reviews(pages, "page_no").select(
         URL, "page_no", "position", "review_id", "body"
     )

@@ -2,12 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from .. import fixed_values as fixed
 from ..functions.text import iso_format
 from ..operators import joins, products, stats
 from ..plans import pipelines
 from ..sources import readers, writers
 from ..streaming import jobs
+from ..streaming.known_keys import KeyIndex, run_new_keys
 from . import sqlkit as q
 from .q_extract import EXTRACTED, LISTING, _WIDGET
 from .q_text import FLAT, FULL_TEXT, SCORES, sentences_sql, words_sql
@@ -71,13 +71,36 @@ def stream_dedup(t: Tables):
         "timestamp_seconds(1700000000 + doc_id) AS arrived_at",
     )
     unique = jobs.stream_dedup(arrivals, "arrived_at", "3650 days", spread_by="seq")
-    started = (
-        unique.writeStream.format("parquet")
-        .option("checkpointLocation", place)
-        .trigger(availableNow=True)
-        .start(out)
+    jobs.run_append(unique, out, place)
+    return t.spark.read.parquet(out).select("review_id")
+
+
+def _in_parts(t: Tables, table, by: str, parts: int, name: str):
+    """A stored copy of ``table`` as a stream of ``parts`` batches, in the order of ``by``."""
+    source = t.scratch(name)
+    ranged = table.repartitionByRange(parts, by).sortWithinPartitions(by)
+    ranged.write.option("maxRecordsPerFile", 0).parquet(source)
+    return jobs.parquet_stream(t.spark, source, table.schema, maxFilesPerTrigger=1)
+
+
+@query(
+    "stream_dedup_expiring",
+    """WITH a AS (SELECT 'bv-review-' || CAST(doc_id - doc_id % 3 AS VARCHAR) AS review_id FROM documents)
+    SELECT DISTINCT review_id FROM a""",
+)
+def stream_dedup_expiring(t: Tables):
+    """Five batches; ids are remembered for ten minutes only, in a store on disk.
+
+    Copies arrive within seconds of each other, some in the next batch.
+    """
+    out, place = t.scratch("unique"), t.scratch("checkpoint")
+    arrivals = t.documents.selectExpr(
+        "concat('bv-review-', CAST(doc_id - doc_id % 3 AS STRING)) AS review_id", "doc_id AS seq",
+        "timestamp_seconds(1700000000 + doc_id) AS arrived_at",
     )
-    started.awaitTermination()
+    stream = _in_parts(t, arrivals, "arrived_at", 5, "arrivals")
+    with jobs.state_on_disk(t.spark):
+        jobs.run_append(jobs.stream_dedup(stream, "arrived_at", "10 minutes"), out, place)
     return t.spark.read.parquet(out).select("review_id")
 
 
@@ -87,9 +110,11 @@ def stream_dedup(t: Tables):
     QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY seq) = 1""",
 )
 def dedup_batch(t: Tables):
+    """In three batches; what earlier ones have written is known from an index of keys."""
     out, place = t.scratch("unique"), t.scratch("checkpoint")
-    dedup = jobs.dedup_batches(out, t.reviews_raw.schema)
-    jobs.run_available(_document_stream(t), _review_batches(t, dedup), out, place)
+    index = KeyIndex(t.scratch("index"), "review_id")
+    stream = _in_parts(t, t.documents, "doc_id", 3, "documents")
+    run_new_keys(stream, lambda batch, _: _as_reviews(t, batch), index, out, place, "seq")
     return jobs.written(t.spark, out).select("review_id", "seq", "rating")
 
 
@@ -122,10 +147,10 @@ def resume_harvest(t: Tables):
     pages = t.review_pages.select(URL, "page_no", "html")
     pages.write.parquet(source)
     products_ = joins.unprocessed_products(t.products_raw.select(URL).distinct(), stored)
-    harvest = jobs.resume_harvest(products_, out)
+    index = KeyIndex(t.scratch("index"), URL)
     stream = jobs.parquet_stream(t.spark, source, pages.schema)
     for _ in range(2):
-        jobs.run_available(stream, harvest, out, place)
+        run_new_keys(stream, jobs.harvest_pages(products_), index, out, place)
     return jobs.written(t.spark, out).select(*columns).unionByName(stored)
 
 
@@ -144,28 +169,38 @@ def build_product_catalog(t: Tables):
 
 HARVEST = f"""{EXTRACTED}, {_WIDGET},
   stored AS (SELECT DISTINCT product_url FROM reviews_raw WHERE rating = 5),
-  todo AS (SELECT DISTINCT product_url FROM products_raw EXCEPT SELECT product_url FROM stored),
-  state AS (SELECT w.product_url, w.opened_by IS NOT NULL AS opened, total_reviews, average_rating,
-      coalesce(total_reviews, 0) <> 0 OR coalesce(average_rating, 0) <> 0 AS has_reviews,
-      w.opened_by IS NOT NULL AND present AS readable
-    FROM widget w JOIN todo USING (product_url) JOIN (SELECT seq, seq % 7 <> 2 AS present FROM reviews_raw) p
-      ON p.seq = w.seq WHERE floor(w.seq / 150) = 0),
-  state_one AS (SELECT product_url, bool_or(opened) AS opened, bool_or(has_reviews) AS has_reviews,
-      bool_or(readable) AS readable FROM state GROUP BY product_url),
-  got AS (SELECT e.* FROM extracted e JOIN state_one s ON e.product_url = s.product_url
-    WHERE s.readable AND e.page_no <= 3)"""
+  todo AS (SELECT product_url, min_by(title, k) AS product_title FROM products_raw
+    WHERE product_url NOT IN (SELECT product_url FROM stored) GROUP BY product_url),
+  attempt AS (SELECT w.seq, w.product_url, w.opened_by IS NOT NULL AS opened, w.total_reviews, w.average_rating,
+      coalesce(w.total_reviews, 0) <> 0 OR coalesce(w.average_rating, 0) <> 0 AS has_reviews,
+      w.opened_by IS NOT NULL AND w.seq % 7 <> 2 AS readable
+    FROM widget w JOIN reviews_raw r ON r.seq = w.seq WHERE r.page_no = 1),
+  state AS (SELECT product_url, bool_or(opened) AS opened, bool_or(has_reviews) AS has_reviews, bool_or(readable) AS readable,
+      max(CASE WHEN has_reviews THEN seq END) AS rated_at FROM attempt GROUP BY product_url),
+  seen AS (SELECT DISTINCT product_url FROM reviews_raw),
+  got AS (SELECT e.* FROM extracted e JOIN state s ON e.product_url = s.product_url
+    JOIN todo t ON t.product_url = e.product_url WHERE s.readable),
+  n AS (SELECT product_url, count(*) AS reviews FROM got GROUP BY product_url),
+  result AS (SELECT t.product_url, t.product_title,
+      CASE WHEN s.product_url IS NOT NULL THEN true WHEN seen.product_url IS NOT NULL THEN false END AS success,
+      CASE WHEN s.product_url IS NOT NULL THEN NULL WHEN seen.product_url IS NOT NULL THEN 'first page not stored'
+        ELSE 'no page stored' END AS error,
+      CASE WHEN s.readable THEN 'read' WHEN s.opened THEN 'reviews not loaded' WHEN s.product_url IS NOT NULL
+        THEN 'reviews not opened' END AS outcome,
+      coalesce(s.has_reviews, false) AS has_reviews, coalesce(n.reviews, 0) AS reviews
+    FROM todo t LEFT JOIN state s ON s.product_url = t.product_url LEFT JOIN seen ON seen.product_url = t.product_url
+      LEFT JOIN n ON n.product_url = t.product_url)"""
 
 
 def _harvest(t: Tables) -> pipelines.Harvest:
     stored = t.reviews_raw.filter("rating = 5")
-    none = t.ratings_summary.select(
-        URL, "average_rating", "total_reviews", F.lit("2025-08-01 00:00:00").cast("timestamp").alias("extracted_at")
+    old = t.ratings_summary.select(
+        URL, F.lit("stored before").alias("product_title"), "average_rating", "total_reviews",
+        F.create_map(F.lit(5), "total_reviews").alias("rating_distribution"),
+        F.lit("2025-08-01 00:00:00").cast("timestamp").alias("extracted_at"),
     )
     run_ts = F.lit("2025-08-05 12:00:00").cast("timestamp")
-    # The checking SQL asks for the first three pages; the job itself has no limit.
-    return pipelines.harvest_reviews(
-        t.products_raw, t.review_pages, stored, none, run_ts, fixed.HARVEST_PAGE_CAP
-    )
+    return pipelines.harvest_reviews(t.products_raw, t.review_pages, stored, old, run_ts)
 
 
 @query(
@@ -178,13 +213,47 @@ def harvest_reviews(t: Tables):
     )
 
 
+@query(
+    "harvest_results",
+    f"WITH {HARVEST} SELECT product_url, product_title, success, error, outcome, has_reviews, reviews FROM result",
+)
+def harvest_results(t: Tables):
+    return _harvest(t).results.select(
+        URL, "product_title", "success", "error", "outcome", "has_reviews", "reviews"
+    )
+
+
+@query(
+    "harvest_ratings",
+    f"""WITH {HARVEST}, stars AS (SELECT product_url, string_agg(rating || '=' || c, ',' ORDER BY rating) AS distribution
+      FROM (SELECT product_url, rating, count(*) AS c FROM got WHERE rating IS NOT NULL GROUP BY product_url, rating)
+      GROUP BY product_url),
+    fresh AS (SELECT s.product_url, t.product_title, a.average_rating, a.total_reviews,
+        coalesce(stars.distribution, '') AS distribution, '2025-08-05T12:00:00' AS extracted_at
+      FROM state s JOIN todo t ON t.product_url = s.product_url JOIN attempt a ON a.seq = s.rated_at AND a.product_url = s.product_url
+        LEFT JOIN stars ON stars.product_url = s.product_url)
+    SELECT * FROM fresh UNION ALL SELECT product_url, 'stored before', average_rating, total_reviews,
+      '5=' || total_reviews, '2025-08-01T00:00:00' FROM ratings_summary
+    WHERE product_url NOT IN (SELECT product_url FROM fresh)""",
+)
+def harvest_ratings(t: Tables):
+    stars = F.transform(
+        F.array_sort(F.map_entries("rating_distribution")),
+        lambda e: F.concat(e["key"].cast("string"), F.lit("="), e["value"].cast("string")),
+    )
+    return _harvest(t).ratings.select(
+        URL, "product_title", "average_rating", "total_reviews",
+        F.array_join(stars, ",").alias("distribution"), iso_format(F.col("extracted_at")).alias("extracted_at"),
+    )
+
+
 @query(
     "harvest_summary",
-    f"""WITH {HARVEST}, n AS (SELECT product_url, count(*) AS reviews FROM got GROUP BY product_url)
-    SELECT count(*) AS products, count(*) AS success_count, CAST(0 AS BIGINT) AS error_count,
-      CAST(coalesce(sum(n.reviews), 0) AS BIGINT) AS total_reviews, count(CASE WHEN has_reviews THEN 1 END) AS rated_products,
-      100.0::DOUBLE AS progress, 100.0::DOUBLE AS success_rate
-    FROM state_one s LEFT JOIN n ON s.product_url = n.product_url""",
+    f"""WITH {HARVEST}, c AS (SELECT count(*) AS products, count(CASE WHEN success THEN 1 END) AS success_count,
+      count(CASE WHEN NOT success THEN 1 END) AS error_count, CAST(sum(reviews) AS BIGINT) AS total_reviews,
+      count(CASE WHEN has_reviews THEN 1 END) AS rated_products FROM result)
+    SELECT *, {q.rn('100.0::DOUBLE * (success_count + error_count) / products', 1)} AS progress,
+      {q.rn('100.0::DOUBLE * success_count / (success_count + error_count)', 1)} AS success_rate FROM c""",
 )
 def harvest_summary(t: Tables):
     return stats.harvest_summary(_harvest(t).results)
@@ -204,6 +273,27 @@ def clean_products(t: Tables):
     return flat.withColumn("created_at", iso_format(F.col("created_at"))).drop("updated_at")
 
 
+@query(
+    "clean_products_rejected",
+    f"SELECT k, product_url, title FROM raw_products WHERE {q.PRODUCT_ID} IS NULL",
+)
+def clean_products_rejected(t: Tables):
+    return pipelines.clean_products(t.raw_products, t.ratings_summary).rejected.select("k", URL, "title")
+
+
+@query(
+    "clean_products_summary",
+    f"""SELECT count(*) AS total, count({q.PRODUCT_ID}) AS cleaned, count(*) - count({q.PRODUCT_ID}) AS errors
+    FROM raw_products""",
+)
+def clean_products_summary(t: Tables):
+    """The counts that fill in while the cleaned table is written."""
+    job = pipelines.clean_products(t.raw_products, t.ratings_summary)
+    writers.write_products(job.cleaned, t.scratch("cleaned"), "parquet")
+    counts = job.summary.get
+    return t.spark.createDataFrame([tuple(counts[c] for c in ("total", "cleaned", "errors"))], "total bigint, cleaned bigint, errors bigint")
+
+
 @query(
     "load_tables",
     f"""WITH {q.CLEANED}, c AS (SELECT 'products' AS collection, count(*) AS documents FROM cleaned

@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.text import iso_format
-from ..operators import joins, merge, products, stats
-from ..sources import readers, writers
+from ..operators import filters, joins, merge, products, stats
+from ..sources import readers, side_updates, writers
 from . import sqlkit as q
 from .q_stats import cleaned
 from .q_tables import _LATEST, _iso_rating
@@ -143,3 +143,112 @@ def clear_tables(t: Tables):
     t.reviews_raw.write.parquet(at["reviews"])
     t.prices.write.parquet(at["prices"])
     return writers.clear_tables(t.spark, "DELETE", **at)
+
+
+# --- broken and repeated records --------------------------------------------
+_BROKEN = "seq % 17 IN (3, 8)"
+
+
+@query(
+    "read_reviews_rejects",
+    f"""SELECT CASE WHEN {_BROKEN} THEN 'rejected' ELSE 'read' END AS kind,
+      CASE seq % 17 WHEN 3 THEN '{{"review_id":"' || review_id || '", "rating": 4,'
+        WHEN 8 THEN '{{"review_id":"' || review_id || '","rating":"four"}}' ELSE review_id END AS text,
+      CASE WHEN NOT {_BROKEN} THEN rating END AS rating FROM reviews_raw""",
+)
+def read_reviews_rejects(t: Tables):
+    """Lines that end too early and lines whose rating is no number, among whole ones."""
+    path = t.scratch("reviews")
+    table = t.reviews_raw.select("seq", *REVIEW)
+    name = F.concat(F.lit('{"review_id":"'), F.col("review_id"))
+    line = (
+        F.when(F.col("seq") % 17 == 3, F.concat(name, F.lit('", "rating": 4,')))
+        .when(F.col("seq") % 17 == 8, F.concat(name, F.lit('","rating":"four"}')))
+        .otherwise(F.to_json(F.struct(*REVIEW)))
+    )
+    table.select(line.alias("value")).write.text(path)
+    checked = readers.read_reviews_checked(t.spark, path)
+    rows = checked.rows.select(F.lit("read").alias("kind"), F.col("review_id").alias("text"), "rating")
+    none = F.lit(None).cast("int").alias("rating")
+    return rows.union(checked.rejects.select(F.lit("rejected").alias("kind"), F.col("record").alias("text"), none))
+
+
+@query(
+    "read_ratings_last_line",
+    f"""WITH l AS ({_LATEST.replace("extracted_at DESC, seq DESC", "seq DESC")})
+    SELECT product_url, average_rating, total_reviews, CAST(0 AS BIGINT) AS broken FROM l
+    UNION ALL SELECT 'broken', NULL, NULL, count(*) FROM ratings_history WHERE seq = 2 AND total_reviews % 2 = 0""",
+)
+def read_ratings_last_line(t: Tables):
+    """A URL on several lines of several files, the last one counts; broken lines are kept apart."""
+    path = t.scratch("ratings")
+    history = t.ratings_history.select(URL, "average_rating", "total_reviews", "seq")
+    value = F.to_json(F.create_map(URL, F.struct("average_rating", "total_reviews")))
+    for part in (1, 2, 3):
+        rows = history.where(F.col("seq") == part)
+        lines = rows.select(value.alias("value"))
+        if part == 2:
+            cut = rows.where("total_reviews % 2 = 0").select(F.substring(URL, 1, 20).alias("value"))
+            lines = lines.union(cut)
+        lines.write.text(f"{path}/part={part}")
+    checked = readers.read_ratings_checked(t.spark, path)
+    none = F.lit(0).cast("bigint").alias("broken")
+    rows = checked.rows.select(URL, "average_rating", "total_reviews", none)
+    broken = checked.rejects.agg(F.count(F.lit(1)).alias("broken")).select(
+        F.lit("broken").alias(URL), F.lit(None).cast("double").alias("average_rating"),
+        F.lit(None).cast("bigint").alias("total_reviews"), "broken",
+    )
+    return rows.union(broken)
+
+
+# --- updates beside the table, clustered layout -----------------------------
+_UPDATED = """WITH scores AS (SELECT review_id, max(helpful_count) + 100 AS helpful_count FROM reviews_raw
+    WHERE seq % 10 = 4 GROUP BY review_id),
+  marks AS (SELECT review_id, min(seq) AS marked, CASE WHEN min(seq) % 20 = 4 THEN NULL ELSE -1 END AS helpful_count
+    FROM reviews_raw WHERE seq % 20 = 4 OR seq % 31 = 0 GROUP BY review_id)
+  SELECT r.seq, r.review_id, r.body, CASE WHEN m.review_id IS NOT NULL THEN m.helpful_count
+    WHEN s.review_id IS NOT NULL THEN s.helpful_count ELSE r.helpful_count END AS helpful_count, m.marked
+  FROM reviews_raw r LEFT JOIN scores s ON r.review_id = s.review_id LEFT JOIN marks m ON r.review_id = m.review_id"""
+
+
+def _with_updates(t: Tables) -> str:
+    """A stored table with two runs of updates; the second sets one column again, also to NULL."""
+    path = t.scratch("reviews")
+    reviews = t.reviews_raw.select("seq", "review_id", "body", "helpful_count")
+    side_updates.create_table(reviews, path, "review_id")
+    scores = reviews.where("seq % 10 = 4").groupBy("review_id").agg((F.max("helpful_count") + 100).alias("helpful_count"))
+    side_updates.append_updates(scores, path, "review_id")
+    marks = reviews.where("seq % 20 = 4 or seq % 31 = 0").groupBy("review_id").agg(F.min("seq").alias("marked"))
+    blank = F.when(F.col("marked") % 20 != 4, F.lit(-1)).alias("helpful_count")
+    side_updates.append_updates(marks.select("review_id", "marked", blank), path, "review_id")
+    return path
+
+
+@query("keyed_update_beside", _UPDATED)
+def keyed_update_beside(t: Tables):
+    return side_updates.read_table(t.spark, _with_updates(t), "review_id")
+
+
+@query("keyed_update_compacted", _UPDATED)
+def keyed_update_compacted(t: Tables):
+    path = _with_updates(t)
+    side_updates.compact_table(t.spark, path, "review_id")
+    return side_updates.read_table(t.spark, path, "review_id")
+
+
+@query(
+    "clustered_lookup",
+    """SELECT 'review' AS found_by, seq, review_id, product_url FROM reviews_raw WHERE review_id = 'bv-review-38'
+    UNION ALL SELECT 'product', seq, review_id, product_url FROM reviews_raw
+    WHERE product_url = (SELECT min(product_url) FROM reviews_raw)""",
+)
+def clustered_lookup(t: Tables):
+    path = t.scratch("clustered")
+    writers.write_clustered(t.reviews_raw.select("seq", "review_id", URL, "body"), path, "review_id", URL)
+    stored = readers.scan_collection(t.spark, path)
+    lowest = stored.agg(F.min(URL)).first()[0]
+    found = [
+        filters.lookup_by_key(stored, value, key).select(F.lit(name).alias("found_by"), "seq", "review_id", URL)
+        for name, value, key in (("review", "bv-review-38", "review_id"), ("product", lowest, URL))
+    ]
+    return found[0].union(found[1])

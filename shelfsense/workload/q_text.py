@@ -210,16 +210,8 @@ _STOP = ", ".join(_lit(w) for w in tokens.STOP_WORDS)
     AS place FROM counted QUALIFY place <= 10""",
 )
 def top_keywords(t: Tables):
-    return nlp.top_keywords(_with_product(t, "body"), "body", "category", 10)
-
-
-def _with_product(t: Tables, *columns: str):
-    title = F.col("title")
-    lookup = t.products_raw.select(
-        "k", URL, p.brand(title).alias("brand"), p.category(title).alias("category")
-    )
-    reviews = t.reviews_raw.select(URL, *columns)
-    return joins.reviews_with_products(reviews, lookup, "category", "brand")
+    lookup = t.products_raw.select("k", URL, p.category(F.col("title")).alias("category"))
+    return nlp.top_keywords_by_product(t.reviews_raw, lookup, "category", 10)
 
 
 # --- sentiment --------------------------------------------------------------
@@ -326,13 +318,7 @@ def sentiment_forced(t: Tables):
       s.sentiment FROM sample x JOIN scored s ON x.seq = s.seq""",
 )
 def sentiment_sample(t: Tables):
-    from ..functions.text import preview
-
-    todo = _partly_scored(t).filter(F.col("sentiment_analysis").isNull())
-    sample = todo.orderBy("review_id", "seq").limit(5).select(
-        "seq", "review_id", "body", preview(F.col("body"), 100).alias("preview")
-    )
-    scored = sentiment.sentiment_table(sample, t.words, "seq", keep=("review_id", "preview"))
+    scored = sentiment.sentiment_sample(_partly_scored(t), t.words)
     return scored.select(
         "review_id", "preview", F.col("sentiment_analysis.sentiment").alias("sentiment")
     )
