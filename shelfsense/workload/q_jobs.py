@@ -75,12 +75,14 @@ def stream_dedup(t: Tables):
     return t.spark.read.parquet(out).select("review_id")
 
 
-def _in_parts(t: Tables, table, by: str, parts: int, name: str):
-    """A stored copy of ``table`` as a stream of ``parts`` batches, in the order of ``by``."""
+def _in_parts(t: Tables, table, by: str, parts: int, name: str, run):
+    """Store ``table`` in parts by ranges of the number ``by``; ``run`` the stream after each."""
     source = t.scratch(name)
-    ranged = table.repartitionByRange(parts, by).sortWithinPartitions(by)
-    ranged.write.option("maxRecordsPerFile", 0).parquet(source)
-    return jobs.parquet_stream(t.spark, source, table.schema, maxFilesPerTrigger=1)
+    low, high = table.agg(F.min(by), F.max(by)).first()
+    limits = [low + n * (high + 1 - low) / parts for n in range(parts + 1)] if low is not None else [0, 1]
+    for begin, end in zip(limits, limits[1:]):
+        table.where((F.col(by) >= begin) & (F.col(by) < end)).write.mode("append").parquet(source)
+        run(jobs.parquet_stream(t.spark, source, table.schema))
 
 
 @query(
@@ -89,18 +91,21 @@ def _in_parts(t: Tables, table, by: str, parts: int, name: str):
     SELECT DISTINCT review_id FROM a""",
 )
 def stream_dedup_expiring(t: Tables):
-    """Five batches; ids are remembered for ten minutes only, in a store on disk.
+    """Five runs; ids are remembered for a while only, in a store on disk.
 
-    Copies arrive within seconds of each other, some in the next batch.
+    Copies arrive within seconds of each other, some in the next run.
     """
     out, place = t.scratch("unique"), t.scratch("checkpoint")
     arrivals = t.documents.selectExpr(
         "concat('bv-review-', CAST(doc_id - doc_id % 3 AS STRING)) AS review_id", "doc_id AS seq",
         "timestamp_seconds(1700000000 + doc_id) AS arrived_at",
     )
-    stream = _in_parts(t, arrivals, "arrived_at", 5, "arrivals")
+
+    def run(stream):
+        jobs.run_append(jobs.stream_dedup(stream, "arrived_at", "1 hour"), out, place)
+
     with jobs.state_on_disk(t.spark):
-        jobs.run_append(jobs.stream_dedup(stream, "arrived_at", "10 minutes"), out, place)
+        _in_parts(t, arrivals, "seq", 5, "arrivals", run)
     return t.spark.read.parquet(out).select("review_id")
 
 
@@ -113,8 +118,11 @@ def dedup_batch(t: Tables):
     """In three batches; what earlier ones have written is known from an index of keys."""
     out, place = t.scratch("unique"), t.scratch("checkpoint")
     index = KeyIndex(t.scratch("index"), "review_id")
-    stream = _in_parts(t, t.documents, "doc_id", 3, "documents")
-    run_new_keys(stream, lambda batch, _: _as_reviews(t, batch), index, out, place, "seq")
+
+    def run(stream):
+        run_new_keys(stream, lambda batch, _: _as_reviews(t, batch), index, out, place, "seq")
+
+    _in_parts(t, t.documents, "doc_id", 3, "documents", run)
     return jobs.written(t.spark, out).select("review_id", "seq", "rating")
 
 
