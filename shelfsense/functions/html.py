@@ -182,7 +182,10 @@ def first_inner(html: Column, tag: Column) -> Column:
 
     def cut(rest: Column) -> Column:
         near = F.call_function("substring_index", rest, close, F.lit(1))
-        nested = F.lower(near).contains(F.concat(F.lit("<"), name)) | (F.length(near) == F.length(rest))
+        low = F.lower(near)
+        nested = low.contains(F.concat(F.lit("<"), name)) | low.contains(F.concat(F.lit("</"), name)) | (
+            F.length(near) == F.length(rest)
+        )
         return F.when(nested, balanced_inner(rest, name)).otherwise(near)
 
     return F.when(name.isin(*VOID_TAGS), F.lit("")).otherwise(bind(after(html, tag), cut))

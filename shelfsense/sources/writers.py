@@ -115,14 +115,18 @@ def write_layout(df: DataFrame, path: str, partition: str, *order: str) -> None:
     layout(df, partition, *order).write.mode("overwrite").partitionBy(partition).parquet(path)
 
 
-def write_clustered(df: DataFrame, path: str, key: str, *also: str, distinct: int = 1_000_000) -> None:
+def write_clustered(
+    df: DataFrame, path: str, key: str, *also: str, distinct: int = 1_000_000, files: int | None = None
+) -> None:
     """Write ``df`` so that a lookup by ``key`` reads next to nothing, one by ``also`` little.
 
     Rows are ranged and sorted by ``key``, so a value lies in one or two files and its row group
     is found by its range. Columns of ``also`` lie anywhere; Parquet Bloom filters, sized for
-    ``distinct`` values per row group, exclude most row groups.
+    ``distinct`` values per row group, exclude most row groups. ``files`` is decided by Spark
+    where it is not given.
     """
-    writer = df.repartitionByRange(key).sortWithinPartitions(key, *also).write.mode("overwrite")
+    ranged = df.repartitionByRange(files, key) if files else df.repartitionByRange(key)
+    writer = ranged.sortWithinPartitions(key, *also).write.mode("overwrite")
     for column in (key, *also):
         writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true").option(
             f"parquet.bloom.filter.expected.ndv#{column}", str(distinct)
