@@ -120,8 +120,9 @@ def cell_levels(sets: DataFrame) -> tuple[np.ndarray, int]:
     mean = (counted.agg(F.sum("hits")).first()[0] or 0) / (1 << SKETCH_BITS)
     levels = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
     # At most one row per cell, whatever the corpus.
-    rows = counted.toPandas()
-    levels[rows["cell"].to_numpy(dtype=np.int64)] = level(rows["hits"].to_numpy(dtype=float))
+    rows = counted.select(F.col("cell").cast("int"), F.least(F.lit(1 << 16), "hits").cast("int").alias("hits")).toArrow()
+    levels[rows["cell"].to_numpy()] = level(rows["hits"].to_numpy())
+    del rows
     return levels, int(level(mean + max(FREQUENT, 3 * mean**0.5)))
 
 
