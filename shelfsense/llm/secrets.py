@@ -157,9 +157,9 @@ def _windows(candidate: Column, chars: CharClass, width: int) -> Column:
         inside = bind(entered(state, code), lambda one: bind(left(one, leaving), lambda now: judged(state, now, code)))
         return F.when(code["entering"] > 0, inside).otherwise(outside)
 
-    steps = F.transform(codes, lambda c, i: F.struct(
-        c.alias("entering"), F.coalesce(F.get(codes, i - width), F.lit(0)).alias("leaving"), i.cast("bigint").alias("at"),
-    ))
+    steps = bind(codes, lambda known: F.transform(known, lambda c, i: F.struct(
+        c.alias("entering"), F.coalesce(F.get(known, i - width), F.lit(0)).alias("leaving"), i.cast("bigint").alias("at"),
+    )))
     return F.aggregate(steps, begin, step, closed)
 
 
