@@ -77,7 +77,7 @@ def pages_without_cards(pages: DataFrame, selectors=fixed.CARD_SELECTORS) -> Dat
 def card_link(card: Column, base: Column | None = None, selectors=fixed.LINK_SELECTORS) -> Column:
     """The first product link, otherwise the first link of any kind."""
     tags = F.filter(F.array(*[opener(card, s) for s in selectors]), lambda tag: tag != "")
-    link = F.get(F.transform(tags, lambda tag: attribute(tag, "href")), 0)
+    link = bind(F.get(tags, 0), lambda tag: attribute(tag, "href"))
     return link if base is None else bind(link, lambda href: resolve_url(href, base))
 
 

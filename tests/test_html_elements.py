@@ -100,3 +100,19 @@ def test_many_nested_matches(spark):
     seconds(100)
     small, large = seconds(1000), seconds(2000)
     assert large < 4 * small + 2 and large < 30
+
+
+def test_elements_and_texts_are_computed_once(spark):
+    """Inside lambdas nothing is shared, so what is used twice must be bound."""
+    from shelfsense.functions.html import needed_words
+
+    df = spark.createDataFrame([("<b>x</b> &amp; <p>y",)], "h string")
+    for text in (inner_text, rendered_text, decode_entities):
+        plan = df.select(text(F.upper("h")))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("upper(") - plan.count("AS upper(") <= 2, text  # once, and once in the column's name
+    assert "data-testid" in needed_words("[data-testid*='product']")
+
+
+def test_leaves_and_strays_leave_the_stack_as_it_was(spark):
+    html = "<div class='c'><i></i><br></br></p><b>1<u></u><div class='c'></div></div><div class='c'>2"
+    assert one(spark, elements(F.col("h"), ".c"), h=html) == ["<i></i><br></br></p><b>1<u></u><div class='c'></div>", "", "2"]
