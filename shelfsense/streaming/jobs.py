@@ -96,7 +96,11 @@ def enrich_reviews(words: DataFrame, concatenate: bool = False, key: str = "seq"
 
     def transform(batch: DataFrame, _: int) -> DataFrame:
         if lexicon is not None:
-            return with_sentiment(nlp_incremental(batch, concatenate), lexicon)
+            # Scores first: the steps of scoring would carry the words and sentences along.
+            rows = nlp_incremental(with_sentiment(batch, lexicon), concatenate)
+            if "sentiment_analysis" in batch.columns:
+                return rows
+            return rows.select(*[c for c in rows.columns if c != "sentiment_analysis"], "sentiment_analysis")
         spread = batch.repartition(key)
         scores = sentiment_table(spread, words, key)
         return nlp_incremental(spread, concatenate).join(scores, key, "left")
