@@ -8,21 +8,27 @@ per set, entries are pairs within a group, and a group of m costs m - 1 misses.
 the one whose prefix ends first keeps an entry, and the other one has it too (Xiao et al. 2008,
 Wang et al. 2016), so no link is lost whatever the sketch says; it only decides what is cheap.
 
-Equal sets are one class from the start. Entries are then verified in rounds: of the pivots of its
-entries, one each, every member is compared with one, so a round makes no more pairs than there are
-sets. Members that are already in one component need not be compared. When the pairs left are few, they are verified one by one:
-members outside an entry's largest component meet the others, so a large group of near copies is
-never paired with itself. They are made in blocks of bounded size, and what a block links is left
-out of the next.
+The smaller one of two linked sets misses still fewer of its shingles, so an entry counts only where
+it is in such a shorter ("early") prefix of one of its sets. Entries of nearly the same sets are
+merged, as a pair need not meet more than once.
+
+Equal sets are one class from the start. Entries are then verified in rounds: every member is
+compared with a few pivots of its entries, so a round makes no more pairs than a multiple of the
+index rows. Members that are already in one component need not be compared. When a round settles
+little or little is left, members outside an entry's largest component meet the others, so a large
+group of near copies is never paired with itself: both sides lie in chunks of bounded size, whose
+bitmaps are compared as arrays, and a pair is a row only where these do not refute it.
 
 Pairs are first compared by parity bitmaps, which are as wide as their sets are large: a bit that
 differs stands for a shingle that only one of the sets has. Only the pairs that these cannot
-refute, which are little more than the links, have their sets sent to each other.
+refute, which are little more than the links, have their sets sent to each other. Sets are made
+from the texts where they are needed and never stored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -39,41 +45,80 @@ FREQUENT = 24
 GROUP = 16
 BAND = 1.25
 #: Pivot rounds go on while more pairs than this are left per index row and a round settles at
-#: least a quarter of them. A pair is counted once per entry its sets share, but compared once.
-PAIRS_PER_ENTRY = 2
+#: least a quarter of them. A pair is counted once per entry its sets share.
+PAIRS_PER_ENTRY = 8
 SETTLED = 0.25
+#: Pivots of an entry in a round.
+PIVOTS = 4
+#: About so many members of an entry are compared with as many others at a time.
+CHUNK = 256
 #: Words of 64 bits of the smallest bitmap. A bitmap has at least as many bits as its set shingles.
 BITMAP = 8
 #: Index entries written together by a task.
 BATCH = 50_000
+#: Bytes of text whose shingles a task makes at once.
+RUN = 1 << 19
+#: Cells of a sketch that are added up together.
+PART_BITS = 14
+
+
+def _shingled(batches, size: int):
+    """Ids, set sizes and shingles (set after set, each sorted) of runs of texts."""
+    for batch in (part for whole in batches for part in byte_slices(whole, 1, RUN)):
+        raw, offsets = text_buffers(batch.column(1))
+        words, limits = batch_words(raw, offsets)
+        sets = [shingles(words[a:b], size) for a, b in zip(limits[:-1], limits[1:])]
+        counts = np.array([len(s) for s in sets], dtype=np.int64)
+        yield batch.column(0), counts, np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+
+
+def _cut(flat: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    return np.split(flat, np.cumsum(counts)[:-1])
 
 
 def shingle_sets(docs: DataFrame, size: int = 5) -> DataFrame:
-    """``doc_id``, ``n``, ``set_key`` (128 bits over the set), ``shingles`` and ``bitmap`` of every row."""
+    """``doc_id``, ``n`` and ``shingles`` of every row."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def work(batches):
         import pyarrow as pa
 
-        for batch in (part for whole in batches for part in byte_slices(whole, 1)):
-            raw, offsets = text_buffers(batch.column(1))
-            words, limits = batch_words(raw, offsets)
-            sets = [shingles(words[a:b], size) for a, b in zip(limits[:-1], limits[1:])]
-            counts = np.array([len(s) for s in sets], dtype=np.int64)
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        for ids, counts, flat in _shingled(batches, size):
             lists = pa.ListArray.from_arrays(
                 pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(flat.view(np.int64))
             )
-            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(counts), lists], ["doc_id", "n", "shingles"])
+
+    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, n bigint, shingles array<bigint>")
+
+
+def described_sets(docs: DataFrame, size: int = 5) -> DataFrame:
+    """``doc_id``, ``n``, ``set_key`` (128 bits over the set) and ``bitmap`` of every row.
+
+    Besides, rows without ``n`` hold the sketch of a task's shingles in parts: ``part``, ``cells``.
+    """
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def work(batches):
+        import pyarrow as pa
+
+        names = ["doc_id", "n", "set_key", "bitmap", "part", "cells"]
+        sketch, ids = np.zeros(1 << SKETCH_BITS, dtype=np.uint32), None
+        for ids, counts, flat in _shingled(batches, size):
+            sketch += np.bincount(flat >> np.uint64(64 - SKETCH_BITS), minlength=len(sketch)).astype(np.uint32)
+            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in _cut(flat, counts)]
             limits, maps = parity_bitmaps(counts, flat)
             maps = pa.ListArray.from_arrays(pa.array(limits.astype(np.int32)), pa.array(maps))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts), pa.array(keys, pa.binary()), lists, maps],
-                ["doc_id", "n", "set_key", "shingles", "bitmap"],
-            )
+            none = [pa.nulls(len(ids), t) for t in (pa.int32(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(counts), pa.array(keys, pa.binary()), maps, *none], names)
+        if ids is not None:
+            parts = [part.tobytes() for part in sketch.reshape(-1, 1 << PART_BITS)]
+            none = [pa.nulls(len(parts), t) for t in (ids.type, pa.int64(), pa.binary(), pa.list_(pa.int64()))]
+            places = pa.array(np.arange(len(parts), dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([*none, places, pa.array(parts, pa.binary())], names)
 
     return docs.select("doc_id", "text").mapInArrow(
-        work, f"doc_id {kind}, n bigint, set_key binary, shingles array<bigint>, bitmap array<bigint>"
+        work, f"doc_id {kind}, n bigint, set_key binary, bitmap array<bigint>, part int, cells binary"
     )
 
 
@@ -94,29 +139,25 @@ def _lists(column):
     return [flat[a - base : b - base] for a, b in zip(offsets[:-1], offsets[1:])]
 
 
-def cell_levels(sets: DataFrame) -> tuple[np.ndarray, int]:
+def cell_levels(described: DataFrame) -> tuple[np.ndarray, int]:
     """The level of every sketch cell, and from which level its shingles are frequent.
 
-    The sketch counts the shingles of all sets.
+    The sketch counts the shingles of all texts; the tasks' sketches are added part by part.
     """
 
     def work(batches):
         import pyarrow as pa
 
-        cells = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            cells += np.bincount(flat >> np.uint64(64 - SKETCH_BITS), minlength=len(cells))
-        used = np.flatnonzero(cells)
-        for at in range(0, len(used), 1 << 16):
-            part = used[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(cells[part])], ["cell", "hits"])
-
-    counted = stored(
-        sets.select("shingles").mapInArrow(work, "cell bigint, hits bigint")
-        .groupBy("cell").agg(F.sum("hits").alias("hits")),
-        "cells",
-    )
+            for part, cells in zip(batch.column(0).to_pylist(), batch.column(1)):
+                sums[part] = sums.get(part, 0) + np.frombuffer(cells.as_buffer(), dtype=np.uint32).astype(np.int64)
+        for part, hits in sums.items():
+            used = np.flatnonzero(hits)
+            yield pa.RecordBatch.from_arrays([pa.array((part << PART_BITS) + used), pa.array(hits[used])], ["cell", "hits"])
+
+    parts = described.where("cells is not null").select("part", "cells").repartition("part")
+    counted = stored(parts.mapInArrow(work, "cell bigint, hits bigint"), "cells")
     mean = (counted.agg(F.sum("hits")).first()[0] or 0) / (1 << SKETCH_BITS)
     levels = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
     # At most one row per cell, whatever the corpus.
@@ -131,11 +172,12 @@ def level(hits):
     return np.minimum(255, np.round(16 * np.log2(1 + np.asarray(hits, dtype=float)))).astype(np.uint8)
 
 
-def set_entries(tokens: np.ndarray, frequent: np.ndarray, percent: int, levels: np.ndarray | None = None) -> np.ndarray:
+def set_entries(tokens: np.ndarray, frequent: np.ndarray, percent: int, levels: np.ndarray | None = None, need: int | None = None) -> np.ndarray:
     """Index entries of one set: sorted distinct hashes, flags of the frequent ones, and levels by
-    which the rare ones are ordered before their hashes."""
+    which the rare ones are ordered before their hashes. ``need``: the misses that the prefix is for
+    and one more."""
     n = len(tokens)
-    need = n + (-n * percent) // 100 + 1
+    need = need or n + (-n * percent) // 100 + 1
     rare = tokens[~frequent]
     if len(rare) >= need:
         if levels is not None:
@@ -164,33 +206,41 @@ def set_entries(tokens: np.ndarray, frequent: np.ndarray, percent: int, levels:
     return np.unique(np.concatenate(out))
 
 
-def entries(sets: DataFrame, levels: np.ndarray, often: int, percent: int) -> DataFrame:
-    """``entry``, ``rid`` and ``n``: the index entries of every set."""
-    kind = dict(sets.dtypes)["doc_id"]
+def early_need(n: int, percent: int) -> int:
+    """``need`` of the smaller one of two linked sets: with t, it has 2t / (1 + t) of its size in common."""
+    return n + (-2 * n * percent) // (100 + percent) + 1
+
+
+def entries(docs: DataFrame, levels: np.ndarray, often: int, percent: int, size: int = 5) -> DataFrame:
+    """``entry``, ``rid``, ``n`` and ``early``: the index entries of every text's set."""
+    kind = dict(docs.dtypes)["doc_id"]
 
     def packed(ids, made):
         import pyarrow as pa
 
-        at, n, found = zip(*made)
+        at, n, found, early = zip(*made)
         sizes = [len(f) for f in found]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(np.concatenate(found).view(np.int64)),
                 ids.take(pa.array(np.repeat(at, sizes))),
                 pa.array(np.repeat(n, sizes)),
+                pa.array(np.concatenate(early)),
             ],
-            ["entry", "rid", "n"],
+            ["entry", "rid", "n", "early"],
         )
 
     def work(batches):
-        for batch in batches:
-            ids, made, rows = batch.column(0), [], 0
-            for at, tokens in enumerate(_lists(batch.column(1))):
-                if not len(tokens):
+        for ids, counts, flat in _shingled(batches, size):
+            made, rows = [], 0
+            for at, tokens in enumerate(_cut(flat, counts)):
+                n = len(tokens)
+                if not n:
                     continue
                 own = levels[tokens >> np.uint64(64 - SKETCH_BITS)]
                 found = set_entries(tokens, own >= often, percent, own)
-                made.append((at, len(tokens), found))
+                first = set_entries(tokens, own >= often, percent, own, early_need(n, percent))
+                made.append((at, n, found, np.isin(found, first)))
                 rows += len(found)
                 if rows >= BATCH:
                     yield packed(ids, made)
@@ -198,7 +248,20 @@ def entries(sets: DataFrame, levels: np.ndarray, often: int, percent: int) -> Da
             if made:
                 yield packed(ids, made)
 
-    return sets.select("doc_id", "shingles").mapInArrow(work, f"entry bigint, rid {kind}, n bigint")
+    return docs.select("doc_id", "text").mapInArrow(work, f"entry bigint, rid {kind}, n bigint, early boolean")
+
+
+def shared_entries(made: DataFrame) -> DataFrame:
+    """``entry``, ``rid`` and ``n`` of the entries that can show a link.
+
+    Entries whose holders have the same smallest id by two hashes are merged: near copies share
+    many entries with nearly the same holders, so most of these become one.
+    """
+    whole = Window.partitionBy("entry")
+    least = [F.min(F.xxhash64(F.lit(k), "rid")).over(whole).alias(f"least{k}") for k in (0, 1)]
+    held = made.select("rid", "n", *least, F.max("early").over(whole).alias("any"), F.count(F.lit(1)).over(whole).alias("holders"))
+    merged = held.where("holders > 1 and any").select(F.xxhash64("least0", "least1").alias("entry"), "rid", "n")
+    return merged.distinct()
 
 
 def apart_at_least(left: np.ndarray, right: np.ndarray) -> int:
@@ -208,12 +271,11 @@ def apart_at_least(left: np.ndarray, right: np.ndarray) -> int:
     return int(np.bitwise_count(left ^ right).sum())  # of signed numbers it would count absolute values
 
 
-def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _likely(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that bitmaps do not refute: linked sets differ in few enough shingles."""
-    maps = sets.select("doc_id", "n", "bitmap")
     left = maps.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("ma"))
     right = maps.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("mb"))
-    kind = dict(sets.dtypes)["doc_id"]
+    kind = dict(maps.dtypes)["doc_id"]
 
     def work(batches):
         for batch in batches:
@@ -228,10 +290,10 @@ def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ma", "mb").mapInArrow(work, f"a {kind}, b {kind}")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
     used = pairs.select(F.col("a").alias("rid")).union(pairs.select("b"))
-    wanted = may_contain(sets, "doc_id", key_filter(used, "rid")).select("doc_id", "n", "shingles")
+    wanted = shingle_sets(may_contain(docs, "doc_id", key_filter(used, "rid")), size)
     left = wanted.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     right = wanted.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb")).cast("bigint")
@@ -276,13 +338,19 @@ def components(links: DataFrame) -> DataFrame:
     return tops.union(tops.select(F.col("label").alias("rid"), "label")).groupBy("rid").agg(F.min("label").alias("label"))
 
 
-def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The links among the pairs of (a, b, na, nb): sizes, then bitmaps, then sets decide."""
-    sized = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    once = sized.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    likely = stored(_likely(once, sets, percent), "pairs")
-    found = stored(_verified(likely, sets, percent), "links")
-    discard(likely)
+class _Corpus(NamedTuple):
+    """What links are decided by: the texts, and ``doc_id``, ``n`` and ``bitmap`` of their sets."""
+
+    docs: DataFrame
+    maps: DataFrame
+    size: int
+    percent: int
+
+
+def _links(likely: DataFrame, corpus: _Corpus) -> DataFrame:
+    kept = stored(likely, "pairs")
+    found = stored(_verified(kept, corpus.docs, corpus.size, corpus.percent), "links")
+    discard(kept)
     return found
 
 
@@ -312,60 +380,101 @@ def _pairs_left(open_entries: DataFrame) -> int:
 
 
 def _pivot_pairs(open_entries: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Every set with one pivot of its entries, of another component and a fitting size.
+    """Every set with the pivots of its entries, of another component and a fitting size.
 
-    Pivots go by id in the first turn, so that the sets of a group choose the same few, and by
-    another hash in every later one.
+    Pivots go by a hash of their ids, another one in every turn, so that the sets of a group choose
+    the same few.
     """
-    place = F.col("rid") if turn == 0 else F.xxhash64(F.lit(turn), "label")
-    order = F.struct(place, F.col("label"), F.xxhash64(F.lit(turn), "rid"), F.col("rid").alias("pivot"), F.col("n").alias("np"))
-    pivots = open_entries.groupBy("entry").agg(F.min(order).alias("p")).select(
-        "entry", F.col("p.pivot").alias("b"), F.col("p.label").alias("label_b"), F.col("p.np").alias("nb")
-    )
-    met = open_entries.join(pivots, "entry").where("label != label_b").where(
-        100 * F.least("n", "nb") >= percent * F.greatest("n", "nb")
+    order = [
+        F.min(F.struct(F.xxhash64(F.lit(PIVOTS * turn + k), "rid"), F.col("rid").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("nb")))
+        for k in range(PIVOTS)
+    ]
+    pivots = open_entries.groupBy("entry").agg(F.array(*order).alias("p")).select("entry", F.inline("p")).select(
+        "entry", "b", "label_b", "nb"
     )
-    first = F.col("b") if turn == 0 else F.xxhash64(F.lit(turn), "label_b", "b")
-    chosen = met.groupBy("rid", "n").agg(F.min_by("b", first).alias("b"), F.min_by("nb", first).alias("nb"))
-    return chosen.select(F.col("rid").alias("a"), "b", F.col("n").alias("na"), "nb")
-
-
-def _remaining_pairs(open_entries: DataFrame, block: int, blocks: int) -> DataFrame:
-    """The members beside their entry's main component, a block of them, with all others.
-
-    ``beside`` was fixed before the first block, so a pair has its block whatever is linked since.
-    """
-    other = open_entries.select(
-        "entry", F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("label").alias("label_b"),
-        F.col("beside").alias("beside_b"),
-    )
-    mine = F.pmod(F.xxhash64(F.lit(blocks), "rid", "entry"), F.lit(blocks)) == block
-    met = open_entries.where(F.col("beside") & mine).join(other, "entry").where("label != label_b and (rid < b or not beside_b)")
-    return met.select(F.col("rid").alias("a"), "b", F.col("n").alias("na"), "nb")
+    fits = 100 * F.least("n", "nb") >= percent * F.greatest("n", "nb")
+    met = open_entries.join(pivots, "entry").where((F.col("label") != F.col("label_b")) & fits)
+    return met.select(F.least("rid", "b").alias("a"), F.greatest("rid", "b").alias("b")).distinct()
+
+
+def _compared(left, right, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in two chunks, each (n, label code, beside, bitmaps), of the pairs to verify."""
+    n, label, beside, maps = left
+    m, other, _, others = right
+    out = []
+    widths, wide = (np.array([len(x) for x in y]) for y in (maps, others))
+    for v, w in {(v, w) for v in widths for w in wide if v <= 2 * w and w <= 2 * v} if percent >= 50 else {(v, w) for v in widths for w in wide}:
+        rows, columns = np.flatnonzero((widths == v) & beside), np.flatnonzero(wide == w)
+        if not len(rows):
+            continue
+        least = min(v, w)
+        a, b = (
+            np.bitwise_xor.reduce(np.stack([x[i].view(np.uint64) for i in places]).reshape(len(places), -1, least), axis=1)
+            for x, places in ((maps, rows), (others, columns))
+        )
+        step = max(1, (1 << 18) // (least * len(columns)))
+        for at in range(0, len(rows), step):
+            some = rows[at : at + step]
+            sizes = n[some][:, None], m[columns][None, :]
+            apart = np.bitwise_count(a[at : at + step][:, None, :] ^ b[None, :, :]).sum(axis=2, dtype=np.int64)
+            fit = (100 + percent) * apart <= (100 - percent) * (sizes[0] + sizes[1])
+            fit &= 100 * np.minimum(*sizes) >= percent * np.maximum(*sizes)
+            fit &= label[some][:, None] != other[columns][None, :]
+            i, j = np.nonzero(fit)
+            out.append((some[i], columns[j]))
+    empty = np.zeros(0, dtype=np.int64)
+    return tuple(np.concatenate([empty, *(pair[k] for pair in out)]) for k in (0, 1))
+
+
+def _remaining_pairs(open_entries: DataFrame, corpus: _Corpus) -> DataFrame:
+    """The members beside their entry's main component with all others, unless bitmaps refute the pair."""
+    kind, percent = dict(open_entries.dtypes)["rid"], corpus.percent
+    main = _groups(open_entries).select("entry", "main", F.ceil(F.col("all") / CHUNK).alias("chunks"))
+    rows = open_entries.join(main, "entry").join(corpus.maps.withColumnRenamed("doc_id", "rid"), ["rid", "n"])
+    member = F.struct("rid", "n", "label", (F.col("label") != F.col("main")).alias("beside"), "bitmap")
+    chunk = F.pmod(F.xxhash64("rid"), "chunks").alias("chunk")
+    chunks = stored(rows.groupBy("entry", chunk).agg(F.collect_list(member).alias("members")), "chunks")
+    left = chunks.where(F.exists("members", lambda m: m["beside"])).select("entry", F.col("members").alias("l"))
+    both = left.join(chunks.select("entry", F.col("members").alias("r")), "entry").select("l", "r")
 
+    def work(batches):
+        import pyarrow as pa
 
-def _linked(sets: DataFrame, percent: int) -> DataFrame:
-    """``rid`` and ``label`` of sets that link with a different set."""
-    holders = F.count(F.lit(1)).over(Window.partitionBy("entry"))
-    shared = entries(sets, *cell_levels(sets), percent).withColumn("holders", holders).where("holders > 1")
-    open_entries = stored(shared.select("entry", "rid", "n", F.col("rid").alias("label")), "entries")
+        for batch in batches:
+            for at in range(len(batch)):
+                sides = [pa.RecordBatch.from_struct_array(batch.column(c)[at].values) for c in ("l", "r")]
+                labels = pa.concat_arrays([s.column("label") for s in sides]).dictionary_encode().indices.to_numpy()
+                codes = np.split(labels, [len(sides[0])])
+                found = _compared(
+                    *((s.column("n").to_numpy(), code, s.column("beside").to_numpy(zero_copy_only=False), _lists(s.column("bitmap")))
+                      for s, code in zip(sides, codes)),
+                    percent,
+                )
+                yield pa.RecordBatch.from_arrays([s.column("rid").take(pa.array(f)) for s, f in zip(sides, found)], ["a", "b"])
+
+    met = both.mapInArrow(work, f"a {kind}, b {kind}")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _linked(docs: DataFrame, described: DataFrame, size: int, percent: int) -> DataFrame:
+    """``rid`` and ``label`` of sets that link with a different set; ``docs`` has one text of each."""
+    shared = shared_entries(entries(docs, *cell_levels(described), percent, size))
+    open_entries = stored(shared.withColumn("label", F.col("rid")), "entries")
+    maps = may_contain(described.where("n > 0"), "doc_id", key_filter(open_entries, "rid")).select("doc_id", "n", "bitmap")
+    corpus = _Corpus(docs, stored(maps, "maps"), size, percent)
     bound = max(1, int(PAIRS_PER_ENTRY * open_entries.count()))
-    ids = dict(sets.dtypes)["doc_id"]
-    links = sets.sparkSession.createDataFrame([], f"a {ids}, b {ids}")
+    ids = dict(docs.dtypes)["doc_id"]
+    links = docs.sparkSession.createDataFrame([], f"a {ids}, b {ids}")
     turn, before, pairs = 0, None, _pairs_left(open_entries)
     while pairs > bound and (before is None or pairs <= (1 - SETTLED) * before):
-        links = links.union(_near(_pivot_pairs(open_entries, turn, percent), sets, percent))
+        likely = _likely(_pivot_pairs(open_entries, turn, percent), corpus.maps, percent)
+        links = links.union(_links(likely, corpus))
         open_entries = _relabelled(open_entries, links)
         turn, before, pairs = turn + 1, pairs, _pairs_left(open_entries)
     if pairs:
-        main = _groups(open_entries).select("entry", "main")
-        beside = open_entries.join(main, "entry").withColumn("beside", F.col("label") != F.col("main")).drop("main")
-        open_entries = stored(beside, "entries")
-    blocks = -(-pairs // bound)
-    for block in range(blocks):
-        links = links.union(_near(_remaining_pairs(open_entries, block, blocks), sets, percent))
-        if block + 1 < blocks:
-            open_entries = _relabelled(open_entries, links)
+        # A row of what is compared is a pair of chunks.
+        with small_batches(docs.sparkSession, 8):
+            links = links.union(_links(_remaining_pairs(open_entries, corpus), corpus))
     return components(links)
 
 
@@ -376,25 +485,27 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     ``percent`` or more. Texts without words (null and empty ones) have no shingles and are their
     own component. Rows that repeat an id are one document. Rows with a null id are in the
     component of an equal set or else in none (null). Shingles are compared as 64-bit hashes of
-    their words. An empty table gives no rows; other columns are ignored.
+    their words. An empty table gives no rows; other columns are ignored. ``docs`` is read several
+    times, as sets are made again where they are compared.
     """
     with small_batches(docs.sparkSession):
         return _near_duplicates(docs, size, percent)
 
 
 def _near_duplicates(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    sets = stored(shingle_sets(docs, size), "sets")
+    described = stored(described_sets(docs, size), "sets")
+    sets = described.where("n is not null")
     full = sets.where("n > 0")
     classes = stored(full.groupBy("n", "set_key").agg(F.min("doc_id").alias("rid")), "classes")
     ids = classes.where("rid is not null").select("rid")
     # The filter lets some copies through as well; they are then linked like any other pair.
-    alone = may_contain(full.where("doc_id is not null"), "doc_id", key_filter(ids, "rid"))
+    alone = may_contain(docs.where("doc_id is not null").select("doc_id", "text"), "doc_id", key_filter(ids, "rid"))
     twice = classes.select(F.col("rid").alias("a")).join(
         full.where("doc_id is not null").select("doc_id", "n", "set_key").distinct()
         .groupBy("doc_id").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"),
         F.col("a") == F.col("doc_id"), "left_semi",
     )
-    linked = stored(_linked(alone, percent), "components")
+    linked = stored(_linked(alone, described, size, percent), "components")
     repeated = full.where("doc_id is not null").select("doc_id", "n", "set_key").join(classes, ["n", "set_key"]).join(
         twice.distinct(), F.col("doc_id") == F.col("a"), "left_semi"
     ).where("doc_id != rid").select(F.col("doc_id").alias("a"), F.col("rid").alias("b"))

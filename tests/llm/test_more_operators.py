@@ -4,6 +4,7 @@ import math
 import re
 
 import numpy as np
+import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
@@ -137,3 +138,65 @@ def test_labels_reach_texts_whatever_the_filters_say(spark, monkeypatch):
         monkeypatch.setattr(toxicity, "filter_bits", lambda n, width=width: width)
         got = sorted(map(tuple, toxicity._labelled(docs, labels).select("doc_id", "text", "toxic").collect()))
         assert got == want
+
+
+def test_entries_of_one_group_of_copies_are_merged(spark):
+    """Near copies share many entries with nearly the same holders; few of these are left (op8)."""
+    from shelfsense.llm import jaccard
+
+    made = [(entry, rid, 50, True) for entry in range(60) for rid in range(40) if (entry + rid) % 20]
+    made += [(100, 1, 50, False), (100, 2, 50, False), (101, 3, 50, True)]  # late in both, held by one
+    made = spark.createDataFrame(made, "entry bigint, rid bigint, n bigint, early boolean")
+    kept = jaccard.shared_entries(made).collect()
+    assert len(kept) < made.count() / 3
+    groups = {}
+    for row in kept:
+        groups.setdefault(row["entry"], set()).add(row["rid"])
+    for a in range(40):
+        for b in range(a):
+            met = any((e + a) % 20 and (e + b) % 20 for e in range(60))
+            assert not met or any({a, b} <= g for g in groups.values())
+
+
+def test_chunks_keep_every_pair_that_bitmaps_allow():
+    import numpy as np
+
+    from shelfsense.llm import jaccard
+
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(1, 2**63, 700, dtype=np.uint64))
+    sets = [np.sort(rng.permutation(base)[: int(rng.integers(400, 650))]) for _ in range(30)]
+    limits, maps = jaccard.parity_bitmaps(np.array([len(s) for s in sets]), np.concatenate(sets))
+    maps = [maps[a:b] for a, b in zip(limits[:-1], limits[1:])]
+    assert len({len(m) for m in maps}) == 2
+    n, label, beside = np.array([len(s) for s in sets]), np.arange(30) % 7, np.arange(30) % 3 > 0
+    got = set(zip(*(x.tolist() for x in jaccard._compared((n, label, beside, maps), (n, label, beside, maps), 80))))
+    want = {
+        (i, j) for i in range(30) for j in range(30)
+        if beside[i] and label[i] != label[j] and 100 * min(n[i], n[j]) >= 80 * max(n[i], n[j])
+        and 180 * jaccard.apart_at_least(maps[i], maps[j]) <= 20 * (n[i] + n[j])
+    }
+    assert got == want and want
+
+
+@pytest.mark.parametrize("percent", [50, 80])
+def test_the_smaller_set_needs_its_early_prefix_only(percent):
+    import numpy as np
+
+    from shelfsense.llm.jaccard import early_need, set_entries
+    from shelfsense.llm.shingles import mix
+
+    rng = np.random.default_rng(6)
+    for turn in range(300):
+        n = int(rng.integers(4, 200))
+        pool = np.unique(rng.integers(1, 2**63, 2 * n + 2, dtype=np.uint64))
+        a = np.sort(rng.permutation(pool)[:n])
+        b = np.union1d(rng.permutation(a)[int(rng.integers(0, n // 5 + 1)) :], np.setdiff1d(pool, a)[: int(rng.integers(0, n // 5 + 1))])
+        common = len(np.intersect1d(a, b))
+        if 100 * common < percent * (len(a) + len(b) - common):
+            continue
+        a, b = sorted((a, b), key=len)
+        often = [(mix(x) >> np.uint64(11)) < (turn % 5) / 4 * 2.0**53 for x in (a, b)]
+        early = set_entries(a, often[0], percent, need=early_need(len(a), percent))
+        assert len(np.intersect1d(early, set_entries(b, often[1], percent)))
+        assert np.isin(early, set_entries(a, often[0], percent)).all()
