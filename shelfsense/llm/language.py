@@ -18,6 +18,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shingles import byte_slices
+
 DIMENSIONS = 1024
 GRAM = 3
 #: Letters share this many random vectors; those of the Latin blocks have one each.
@@ -140,7 +142,7 @@ def learn(labelled: DataFrame, dimensions: int = DIMENSIONS) -> Profiles:
         import pyarrow as pa
 
         encoder, sums = Encoder(dimensions), {}
-        for batch in batches:
+        for batch in (part for whole in batches for part in byte_slices(whole, 0)):
             texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             names = sorted(set(langs))
             place = {name: i for i, name in enumerate(names)}
@@ -189,7 +191,7 @@ def identify(docs: DataFrame, profiles: Profiles, dimensions: int = DIMENSIONS,
         import pyarrow as pa
 
         encoder = Encoder(dimensions)
-        for batch in batches:
+        for batch in (part for whole in batches for part in byte_slices(whole, len(keep))):
             texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
             names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
             bundle_of: dict[int, np.ndarray] = {}
