@@ -84,8 +84,12 @@ def harvest_reviews(
         pages = pages.join(wanted, "product_url", "left_semi")
     state = measured(joins.lookup_join(_product_states(pages, order), wanted, "product_url", "left_semi"), "states")
     readable = state.filter("readable").select("product_url")
-    found_reviews = extract.extract_reviews(extract.paginate_union(pages, max_pages), "page_no")
-    reviews = joins.lookup_join(found_reviews, readable, "product_url", "left_semi")
+    if joins.fits_broadcast(readable):  # pages whose reviews would not be taken are not searched for any
+        opened = extract.paginate_union(pages.join(readable, "product_url", "left_semi"), max_pages)
+        reviews = extract.extract_reviews(opened, "page_no")
+    else:
+        found_reviews = extract.extract_reviews(extract.paginate_union(pages, max_pages), "page_no")
+        reviews = joins.lookup_join(found_reviews, readable, "product_url", "left_semi")
     rated = joins.lookup_join(state.filter("has_reviews"), todo, "product_url")
     no_stars = F.create_map().cast("map<int,bigint>")
     new_ratings = joins.lookup_join(rated, stats.rating_distribution(reviews), "product_url").select(
